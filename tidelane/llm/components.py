@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
+#: Bits of the filter that goes ahead of joins.
+FILTER_BITS = 1 << 24
+
 
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.bit_xor(F.xxhash64("u", "v"))).first()
@@ -38,44 +41,62 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(ends)
 
 
-def linked_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 2) -> DataFrame:
+def likely_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` may be among ``keys`` (k): a filter ahead of a join, so that fewer rows are shuffled.
+
+    A bit for each of FILTER_BITS hash values, 64 to a row: however many keys there are, the broadcast table
+    has FILTER_BITS / 64 rows at most. Other keys may pass; none of ``keys`` is lost.
+    """
+
+    def place(c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+
+    words = keys.select(place("k").alias("p")).groupBy(F.expr("p div 64").alias("word_")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits_"))
+    at = df.withColumn("p_", place(key))
+    return at.join(F.broadcast(words), F.expr("p_ div 64 = word_")).where(F.expr("getbit(bits_, cast(p_ % 64 as int)) = 1")).drop("p_", "word_", "bits_")
+
+
+def linked_components(members: DataFrame, near: Callable[[Column, Column], Column], prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], rounds: int = 2) -> DataFrame:
     """(id, component) over all verified links between ids that share a bucket.
 
-    ``members`` (key, id) lists buckets of candidates; ``verify`` takes pairs (a, b), a < b, and returns those
-    that are linked. Only connectivity is asked for, so pairs that are connected already need no test. In each
-    round every bucket picks one hub and its members are compared with the hub alone. What the hubs leave
-    apart is then compared pair by pair across the remaining components of a bucket, so no link is lost;
-    a bucket that the hubs have joined into one component gives no pairs there.
+    ``members`` (key, id, load) lists buckets of candidates, with what ``near`` needs of each to rule out a
+    pair; ``prepare`` gets the ids (id) that are left and returns ``verify``, which takes pairs (a, b, la, lb),
+    a < b, and returns those (a, b) that are linked. Only connectivity is asked for, so pairs that are
+    connected already need no test. In each round every bucket picks one hub and its members are compared
+    with the hub alone. What the hubs leave apart is then compared pair by pair across the remaining
+    components of a bucket, so no link is lost; a bucket that the hubs have joined gives no pairs there.
     """
-    shared = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(F.col("key").alias("k"))
-    members = stored(members.join(shared, members.key == shared.k, "left_semi").distinct())
+    one = F.struct("id", "load")
+    shared = stored(members.groupBy("key").agg(F.min(one).alias("lo"), F.max(one).alias("hi"), F.count("*").alias("n")).where("lo.id < hi.id"))
+    two = shared.where("n = 2").where(near(F.col("lo.load"), F.col("hi.load"))).select("key", F.explode(F.array("lo", "hi")).alias("m")).select("key", "m.id", "m.load")
+    large = shared.where("n > 2").select(F.col("key").alias("k"))
+    more = likely_in(members, "key", large).join(large, F.col("key") == F.col("k"), "left_semi").dropDuplicates(["key", "id"])
+    members = stored(two.unionByName(more))
+    verify = prepare(members.select("id").distinct())
     found, links = None, None
     for r in range(rounds + 1):
         if found is None:
             placed = members.withColumn("component", F.col("id"))
         else:
             f = found.select(F.col("id").alias("fid"), "component")
-            placed = members.join(f, members.id == f.fid, "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+            placed = members.join(f, members.id == f.fid, "left").select("key", "id", "load", F.coalesce("component", "id").alias("component"))
+        spread = placed.groupBy("key").agg(
+            F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("o"), "id", "load", "component")).alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi")
+        )
+        spread = spread.where("lo < hi").select(F.col("key").alias("k"), F.col("hub.id").alias("y"), F.col("hub.load").alias("ly"), F.col("hub.component").alias("cy"))
         if r < rounds:
-            hub = placed.groupBy("key").agg(
-                F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("o"), "id", "component")).alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi")
-            )
-            hub = hub.where("lo < hi").select(F.col("key").alias("k"), F.col("hub.id").alias("hub"), F.col("hub.component").alias("hub_component"))
-            pairs = placed.join(hub, placed.key == hub.k).where("component <> hub_component").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+            pairs = placed.join(spread, placed.key == spread.k).where("component <> cy")
         else:
-            open_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(F.col("key").alias("k"))
-            rest = placed.join(open_, placed.key == open_.k, "left_semi")
-            x, y = rest.select("key", F.col("id").alias("x"), F.col("component").alias("cx")), rest.select(F.col("key").alias("k"), F.col("id").alias("y"), F.col("component").alias("cy"))
-            pairs = x.join(y, (x.key == y.k) & (x.cx < y.cy)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        fresh = stored(verify(pairs.distinct()))
-        if fresh.isEmpty():
-            if r < rounds and found is None:
-                continue
-            if r == rounds:
-                break
-            continue
-        links = fresh if links is None else links.unionByName(fresh)
-        found = stored(components(links))
+            rest = placed.join(spread, placed.key == spread.k, "left_semi")
+            other = rest.select(F.col("key").alias("k"), F.col("id").alias("y"), F.col("load").alias("ly"), F.col("component").alias("cy"))
+            pairs = rest.join(other, (rest.key == other.k) & (rest.component < other.cy))
+        pairs = pairs.where(near(F.col("load"), F.col("ly")))
+        up = F.col("id") < F.col("y")
+        pairs = pairs.select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b"), F.when(up, F.col("load")).otherwise(F.col("ly")).alias("la"), F.when(up, F.col("ly")).otherwise(F.col("load")).alias("lb"))
+        fresh = stored(verify(pairs.dropDuplicates(["a", "b"])))
+        if not fresh.isEmpty():
+            links = fresh if links is None else links.unionByName(fresh)
+            found = stored(components(links))
     if found is None:
         return members.select("id", F.col("id").alias("component")).limit(0)
     return found

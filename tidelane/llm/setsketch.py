@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, unwrapped, wrapped
-from .components import linked_components
+from .components import likely_in, linked_components
 from .words import mixed, word_codes
 
 #: Registers of a sketch, their base, and the rate of the exponentials.
@@ -145,16 +145,16 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _bands(reps: DataFrame) -> DataFrame:
-    """(key, id): a row for each band of each of ``reps`` (id, registers)."""
+    """(key, id, load): a row for each band of each of ``reps`` (id, n_shingles, registers); load is n_shingles."""
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 keys = band_keys(np.stack([np.frombuffer(r, dtype=np.uint16) for r in batch.column("registers").to_pylist()]))
-                ids = np.repeat(batch.column("id").to_numpy(), keys.shape[1])
-                yield pa.RecordBatch.from_pydict({"key": pa.array(keys.ravel().view(np.int64)), "id": pa.array(ids)})
+                ids, sizes = (np.repeat(batch.column(c).to_numpy(), keys.shape[1]) for c in ("id", "n_shingles"))
+                yield pa.RecordBatch.from_pydict({"key": pa.array(keys.ravel().view(np.int64)), "id": pa.array(ids), "load": pa.array(sizes)})
 
-    return reps.select("id", "registers").mapInArrow(band, "key long, id long")
+    return reps.select("id", "n_shingles", "registers").mapInArrow(band, "key long, id long, load long")
 
 
 def _likely(pairs: DataFrame, percent: int) -> DataFrame:
@@ -198,7 +198,8 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 yield pa.RecordBatch.from_pydict({"id": batch.column("doc_id"), "key": pa.array(keys, pa.binary()), "set": pa.array([s.tobytes() for s in sets], pa.binary())})
 
-        found = texts.join(ids, texts.doc_id == ids.id, "left_semi").mapInArrow(pack, "id long, key binary, set binary")
+        ids = ids.select(F.col("id").alias("k"))
+        found = likely_in(texts, "doc_id", ids).join(ids, F.col("doc_id") == F.col("k"), "left_semi").mapInArrow(pack, "id long, key binary, set binary")
         found = found.join(named.select("k", F.col("id").alias("rid")), (found.key == F.col("k")) & (found.id == F.col("rid")), "left_semi")
         return stored(found.dropDuplicates(["id"]).select("id", "set"))
 
@@ -211,19 +212,24 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")})
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def prepare(ids: DataFrame):
+        sets = sets_of(ids)
         left = reps.select(F.col("id").alias("ia"), F.col("registers").alias("ra"), F.col("n_shingles").alias("na"))
         right = reps.select(F.col("id").alias("ib"), F.col("registers").alias("rb"), F.col("n_shingles").alias("nb"))
-        # sizes alone can rule a pair out: the intersection is at most the smaller set
-        sized = pairs.join(left, pairs.a == left.ia).join(right, pairs.b == right.ib).where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        likely = stored(_likely(sized.select("a", "b", "ra", "rb", "na", "nb"), percent))
-        if likely.isEmpty():
-            return likely
-        sets = sets_of(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        x, y = sets.select(F.col("id").alias("ia"), F.col("set").alias("sa")), sets.select(F.col("id").alias("ib"), F.col("set").alias("sb"))
-        return likely.join(x, likely.a == x.ia).join(y, likely.b == y.ib).select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
-
-    found = linked_components(_bands(reps), verify).select(F.col("id").alias("cid"), "component")
+        x, y = sets.select(F.col("id").alias("xa"), F.col("set").alias("sa")), sets.select(F.col("id").alias("yb"), F.col("set").alias("sb"))
+
+        def verify(pairs: DataFrame) -> DataFrame:
+            joined = pairs.select("a", "b").join(left, F.col("a") == F.col("ia")).join(right, F.col("b") == F.col("ib"))
+            likely = _likely(joined.select("a", "b", "ra", "rb", "na", "nb"), percent)
+            return likely.join(x, likely.a == x.xa).join(y, likely.b == y.yb).select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+
+        return verify
+
+    def near(na, nb):
+        """Sizes alone can rule a pair out: the intersection is at most the smaller set."""
+        return F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
+
+    found = linked_components(_bands(reps), near, prepare).select(F.col("id").alias("cid"), "component")
     of_class = classes.join(found, classes.id == found.cid, "left").select("set_key", F.coalesce("component", "id").alias("component"), "n_in_class")
     out = signed.join(of_class.withColumnRenamed("set_key", "k"), signed.set_key == F.col("k"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
