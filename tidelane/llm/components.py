@@ -56,21 +56,26 @@ def likely_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return at.join(F.broadcast(words), F.expr("p_ div 64 = word_")).where(F.expr("getbit(bits_, cast(p_ % 64 as int)) = 1")).drop("p_", "word_", "bits_")
 
 
-def linked_components(members: DataFrame, near: Callable[[Column, Column], Column], prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], rounds: int = 2) -> DataFrame:
+def linked_components(
+    members: DataFrame, loads: DataFrame, near: Callable[[Column, Column], Column], prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], rounds: int = 2
+) -> DataFrame:
     """(id, component) over all verified links between ids that share a bucket.
 
-    ``members`` (key, id, load) lists buckets of candidates, with what ``near`` needs of each to rule out a
-    pair; ``prepare`` gets the ids (id) that are left and returns ``verify``, which takes pairs (a, b, la, lb),
-    a < b, and returns those (a, b) that are linked. Only connectivity is asked for, so pairs that are
+    ``members`` (key, id) lists buckets of candidates, ``loads`` (id, load) what ``near`` needs of an id to
+    rule out a pair; ``prepare`` gets the ids (id) that are left and returns ``verify``, which takes pairs
+    (a, b), a < b, and returns those that are linked. Only connectivity is asked for, so pairs that are
     connected already need no test. In each round every bucket picks one hub and its members are compared
     with the hub alone. What the hubs leave apart is then compared pair by pair across the remaining
     components of a bucket, so no link is lost; a bucket that the hubs have joined gives no pairs there.
     """
-    one = F.struct("id", "load")
-    shared = stored(members.groupBy("key").agg(F.min(one).alias("lo"), F.max(one).alias("hi"), F.count("*").alias("n")).where("lo.id < hi.id"))
-    two = shared.where("n = 2").where(near(F.col("lo.load"), F.col("hi.load"))).select("key", F.explode(F.array("lo", "hi")).alias("m")).select("key", "m.id", "m.load")
+    shared = stored(members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi"))
+    x, y = loads.select(F.col("id").alias("xi"), F.col("load").alias("lx")), loads.select(F.col("id").alias("yi"), F.col("load").alias("ly"))
+    two = shared.where("n = 2").select("lo", "hi").distinct().join(x, F.col("lo") == F.col("xi")).join(y, F.col("hi") == F.col("yi")).where(near(F.col("lx"), F.col("ly")))
+    two = two.withColumn("key", F.xxhash64("lo", "hi"))
+    two = two.select("key", F.col("lo").alias("id"), F.col("lx").alias("load")).unionByName(two.select("key", F.col("hi").alias("id"), F.col("ly").alias("load")))
     large = shared.where("n > 2").select(F.col("key").alias("k"))
-    more = likely_in(members, "key", large).join(large, F.col("key") == F.col("k"), "left_semi").dropDuplicates(["key", "id"])
+    more = likely_in(members, "key", large).join(large, F.col("key") == F.col("k")).select("key", "id").distinct()
+    more = more.join(x, F.col("id") == F.col("xi")).select("key", "id", F.col("lx").alias("load"))
     members = stored(two.unionByName(more))
     verify = prepare(members.select("id").distinct())
     found, links = None, None
@@ -91,9 +96,8 @@ def linked_components(members: DataFrame, near: Callable[[Column, Column], Colum
             other = rest.select(F.col("key").alias("k"), F.col("id").alias("y"), F.col("load").alias("ly"), F.col("component").alias("cy"))
             pairs = rest.join(other, (rest.key == other.k) & (rest.component < other.cy))
         pairs = pairs.where(near(F.col("load"), F.col("ly")))
-        up = F.col("id") < F.col("y")
-        pairs = pairs.select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b"), F.when(up, F.col("load")).otherwise(F.col("ly")).alias("la"), F.when(up, F.col("ly")).otherwise(F.col("load")).alias("lb"))
-        fresh = stored(verify(pairs.dropDuplicates(["a", "b"])))
+        pairs = pairs.select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b"))
+        fresh = stored(verify(pairs.distinct()))
         if not fresh.isEmpty():
             links = fresh if links is None else links.unionByName(fresh)
             found = stored(components(links))

@@ -145,16 +145,16 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _bands(reps: DataFrame) -> DataFrame:
-    """(key, id, load): a row for each band of each of ``reps`` (id, n_shingles, registers); load is n_shingles."""
+    """(key, id): a row for each band of each of ``reps`` (id, registers)."""
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 keys = band_keys(np.stack([np.frombuffer(r, dtype=np.uint16) for r in batch.column("registers").to_pylist()]))
-                ids, sizes = (np.repeat(batch.column(c).to_numpy(), keys.shape[1]) for c in ("id", "n_shingles"))
-                yield pa.RecordBatch.from_pydict({"key": pa.array(keys.ravel().view(np.int64)), "id": pa.array(ids), "load": pa.array(sizes)})
+                ids = np.repeat(batch.column("id").to_numpy(), keys.shape[1])
+                yield pa.RecordBatch.from_pydict({"key": pa.array(keys.ravel().view(np.int64)), "id": pa.array(ids)})
 
-    return reps.select("id", "n_shingles", "registers").mapInArrow(band, "key long, id long, load long")
+    return reps.select("id", "registers").mapInArrow(band, "key long, id long")
 
 
 def _likely(pairs: DataFrame, percent: int) -> DataFrame:
@@ -199,7 +199,7 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"id": batch.column("doc_id"), "key": pa.array(keys, pa.binary()), "set": pa.array([s.tobytes() for s in sets], pa.binary())})
 
         ids = ids.select(F.col("id").alias("k"))
-        found = likely_in(texts, "doc_id", ids).join(ids, F.col("doc_id") == F.col("k"), "left_semi").mapInArrow(pack, "id long, key binary, set binary")
+        found = likely_in(texts, "doc_id", ids).join(ids, F.col("doc_id") == F.col("k")).select("doc_id", "text").mapInArrow(pack, "id long, key binary, set binary")
         found = found.join(named.select("k", F.col("id").alias("rid")), (found.key == F.col("k")) & (found.id == F.col("rid")), "left_semi")
         return stored(found.dropDuplicates(["id"]).select("id", "set"))
 
@@ -229,7 +229,7 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         """Sizes alone can rule a pair out: the intersection is at most the smaller set."""
         return F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
 
-    found = linked_components(_bands(reps), near, prepare).select(F.col("id").alias("cid"), "component")
+    found = linked_components(_bands(reps), reps.select("id", F.col("n_shingles").alias("load")), near, prepare).select(F.col("id").alias("cid"), "component")
     of_class = classes.join(found, classes.id == found.cid, "left").select("set_key", F.coalesce("component", "id").alias("component"), "n_in_class")
     out = signed.join(of_class.withColumnRenamed("set_key", "k"), signed.set_key == F.col("k"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
