@@ -57,16 +57,18 @@ def likely_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
 
 
 def linked_components(
-    members: DataFrame, loads: DataFrame, near: Callable[[Column, Column], Column], prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], rounds: int = 2
+    members: DataFrame, loads: DataFrame, near: Callable[[Column, Column], Column], prepare: Callable[[DataFrame], tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame] | None]], rounds: int = 2
 ) -> DataFrame:
     """(id, component) over all verified links between ids that share a bucket.
 
     ``members`` (key, id) lists buckets of candidates, ``loads`` (id, load) what ``near`` needs of an id to
-    rule out a pair; ``prepare`` gets the ids (id) that are left and returns ``verify``, which takes pairs
+    rule out a pair; ``prepare`` gets the ids (id) that are left and returns (verify, rest): ``verify`` takes pairs
     (a, b), a < b, and returns those that are linked. Only connectivity is asked for, so pairs that are
     connected already need no test. In each round every bucket picks one hub and its members are compared
-    with the hub alone. What the hubs leave apart is then compared pair by pair across the remaining
-    components of a bucket, so no link is lost; a bucket that the hubs have joined gives no pairs there.
+    with the hub alone. What the hubs leave apart is then compared across the remaining components of a
+    bucket, so no link is lost; a bucket that the hubs have joined is through. Without ``rest`` that is done
+    pair by pair. ``rest`` takes (id, component, family), where ids that share an unsettled bucket, directly or
+    through others, are a family, and returns links (a, b) that join whatever components of a family are linked.
     """
     shared = stored(members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi"))
     x, y = loads.select(F.col("id").alias("xi"), F.col("load").alias("lx")), loads.select(F.col("id").alias("yi"), F.col("load").alias("ly"))
@@ -77,7 +79,7 @@ def linked_components(
     more = likely_in(members, "key", large).join(large, F.col("key") == F.col("k")).select("key", "id").distinct()
     more = more.join(x, F.col("id") == F.col("xi")).select("key", "id", F.col("lx").alias("load"))
     members = stored(two.unionByName(more))
-    verify = prepare(members.select("id").distinct())
+    verify, settle = prepare(members.select("id").distinct())
     found, links = None, None
     for r in range(rounds + 1):
         if found is None:
@@ -91,13 +93,20 @@ def linked_components(
         spread = spread.where("lo < hi").select(F.col("key").alias("k"), F.col("hub.id").alias("y"), F.col("hub.load").alias("ly"), F.col("hub.component").alias("cy"))
         if r < rounds:
             pairs = placed.join(spread, placed.key == spread.k).where("component <> cy")
+        elif settle is not None:
+            rest = stored(placed.join(spread, placed.key == spread.k).select("id", "component", "y"))
+            families = components(rest.select(F.col("id").alias("a"), F.col("y").alias("b"))).select(F.col("id").alias("fid"), F.col("component").alias("family"))
+            rest = rest.select("id", "component").distinct().join(families, F.col("id") == F.col("fid")).select("id", "component", "family")
+            pairs = None
         else:
             rest = placed.join(spread, placed.key == spread.k, "left_semi")
             other = rest.select(F.col("key").alias("k"), F.col("id").alias("y"), F.col("load").alias("ly"), F.col("component").alias("cy"))
             pairs = rest.join(other, (rest.key == other.k) & (rest.component < other.cy))
-        pairs = pairs.where(near(F.col("load"), F.col("ly")))
-        pairs = pairs.select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b"))
-        fresh = stored(verify(pairs.distinct()))
+        if pairs is None:
+            fresh = stored(settle(rest))
+        else:
+            pairs = pairs.where(near(F.col("load"), F.col("ly"))).select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b"))
+            fresh = stored(verify(pairs.distinct()))
         if not fresh.isEmpty():
             links = fresh if links is None else links.unionByName(fresh)
             found = stored(components(links))

@@ -18,6 +18,8 @@ from .words import mixed, word_codes
 M, BASE, RATE = 256, 1.001, 20.0
 #: Registers in a band; at a similarity of 0.85 a pair shares no band with a probability below 1e-8.
 BAND = 6
+#: Sets of a family that are compared at once, and shingles they are compared by at once.
+BLOCK, COLUMNS = 512, 4096
 #: How far below the threshold an estimate may lie before a pair is dropped unverified, in standard errors.
 SIGMAS = 5.0
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -172,6 +174,42 @@ def _likely(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(keep, "a long, b long")
 
 
+def links_between(x: list[np.ndarray], y: list[np.ndarray], cx: np.ndarray, cy: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Positions (i, j) of linked sets of ``x`` and ``y``, enough to join all components (cx, cy) that are linked here.
+
+    Intersections are counted exactly, by products of 0/1 matrices over the shingles that several sets hold.
+    """
+    sizes = np.array([len(s) for s in [*x, *y]])
+    flat, owner = np.concatenate([*x, *y]), np.repeat(np.arange(len(sizes)), sizes)
+    unique, index, times = np.unique(flat, return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1
+    keep = times[index] > 1
+    index, owner = column[index[keep]], owner[keep]
+    order = np.argsort(index, kind="stable")
+    index, owner = index[order], owner[order]
+    both = np.zeros((len(x), len(y)), dtype=np.float64)
+    for start in range(0, int(index[-1]) + 1 if len(index) else 0, COLUMNS):
+        lo, hi = np.searchsorted(index, [start, start + COLUMNS])
+        has = np.zeros((len(sizes), COLUMNS), dtype=np.float32)
+        has[owner[lo:hi], index[lo:hi] - start] = 1
+        both += has[: len(x)] @ has[len(x) :].T
+    total = sizes[: len(x), None] + sizes[None, len(x) :] - both
+    up: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while up.get(c, c) != c:
+            c = up[c]
+        return c
+
+    out = []
+    for i, j in zip(*np.nonzero((100 * both >= percent * total) & (cx[:, None] != cy[None, :])), strict=True):
+        a, b = root(int(cx[i])), root(int(cy[j]))
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            out.append((int(i), int(j)))
+    return out
+
+
 def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, n_in_class) of whole ``docs`` (doc_id, text).
 
@@ -179,7 +217,8 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     shingles; words are cut at ASCII blanks, A-Z lower-cased. component_id is the smallest doc_id reachable.
     Documents with equal sets are one class, represented by its smallest doc_id, and only representatives are
     sketched, banded and compared, so copies cost no pairs. Candidates share a band of registers; pairs whose
-    estimate is far below the threshold go, all others are verified on their full sets. Null and blank texts
+    estimate is far below the threshold go, all others are verified on their full sets; see
+    ``linked_components`` for which pairs are asked for. Null and blank texts
     have no shingles and are linked with nothing. Rows with a null doc_id are left out of comparison and keep
     a null component_id. Rows that repeat an id share its component.
     """
@@ -223,7 +262,23 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
             likely = _likely(joined.select("a", "b", "ra", "rb", "na", "nb"), percent)
             return likely.join(x, likely.a == x.xa).join(y, likely.b == y.yb).select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
-        return verify
+        def compare(key: tuple, table: pa.Table) -> pa.Table:
+            block, ids, comp = (table[c].to_numpy() for c in ("block", "id", "component"))
+            held = [np.frombuffer(b, dtype=np.uint64) for b in table["set"].to_pylist()]
+            one, other = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
+            found = links_between([held[k] for k in one], [held[k] for k in other], comp[one], comp[other], percent) if len(one) and len(other) else []
+            a, b = [ids[one[i]] for i, _ in found], [ids[other[j]] for _, j in found]
+            return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+        def settle(rest: DataFrame) -> DataFrame:
+            """Families are cut into blocks; each two blocks of a family meet in a task, with their full sets."""
+            n = rest.groupBy(F.col("family").alias("f")).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+            d = rest.join(n, F.col("family") == F.col("f")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+            d = d.select("family", "id", "component", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("with"))
+            d = d.join(x, F.col("id") == F.col("xa")).select("family", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "id", "component", "block", F.col("sa").alias("set"))
+            return d.groupBy("family", "i", "j").applyInArrow(compare, "a long, b long")
+
+        return verify, settle
 
     def near(na, nb):
         """Sizes alone can rule a pair out: the intersection is at most the smaller set."""
