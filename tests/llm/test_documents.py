@@ -461,12 +461,19 @@ def test_line_groups(spark, small):
         assert {(r.doc_id, r.line_no) for r in got if r.kept} == set(first.values())
 
 
-def test_simhash_is_a_vote_of_words(spark):
-    docs = spark.createDataFrame([(1, "alpha beta gamma\n" + "delta " * 70000 + "x")], "doc_id long, text string")
-    h = dict(spark.sql("select w, xxhash64(w) from values ('alpha'), ('beta'), ('gamma'), ('delta'), ('x') as t(w)").collect())
+def test_simhash_is_a_vote_of_word_pairs(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma\nAlpha beta gamma, delta epsilon zeta\n" + "delta " * 70000 + "x")], "doc_id long, text string")
+    h = {(r.a, r.b): r.h % 2**64 for r in spark.sql(
+        "select a, b, xxhash64(struct(a, b)) as h from values ('alpha', 'beta'), ('beta', 'gamma'), ('gamma', null), ('gamma', 'delta'), ('delta', 'epsilon'), ('epsilon', 'zeta'), ('zeta', 'alpha'), ('alpha', null), ('delta', 'delta') as t(a, b)"
+    ).collect()}
     got = {r.line_no: r.simhash % 2**64 for r in linededup.with_simhash(linededup.lines(docs)).collect()}
-    want = sum(1 << b for b in range(64) if sum((h[w] % 2**64) >> b & 1 for w in ("alpha", "beta", "gamma")) >= 2)
-    assert got[0] == want and got[1] == h["delta"] % 2**64
+
+    def vote(pairs):
+        return sum(1 << b for b in range(64) if 2 * sum(h[p] >> b & 1 for p in pairs) > len(pairs))
+
+    assert got[0] == vote([("alpha", "beta"), ("beta", "gamma"), ("gamma", None)])
+    w = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "alpha", None]
+    assert got[1] == vote(list(zip(w, w[1:]))) and got[2] == h["delta", "delta"]
 
 
 def test_lines_odd(odd, empty, clashing):
