@@ -30,7 +30,7 @@ def components(links: DataFrame) -> DataFrame:
     while now != before and now[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-        large = both.join(least, both.u == least.c).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = both.join(least, both.u == least.c).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
         small = large.join(least, large.u == least.c).select(
             F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
@@ -41,6 +41,21 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(ends)
 
 
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component) of ``found`` (id, component) after ``links`` (a, b) more; ids that only ``links`` has are added.
+
+    Only what ``found`` calls components is joined anew, so a few links cost a few rows a step.
+    """
+
+    def at(end: str) -> DataFrame:
+        return found.select(F.col("id").alias(f"{end}_id"), F.col("component").alias(f"{end}_c"))
+
+    ends = links.join(at("a"), F.col("a") == F.col("a_id"), "left").join(at("b"), F.col("b") == F.col("b_id"), "left")
+    joined = stored(components(ends.select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))))
+    moved = joined.select(F.col("id").alias("old"), F.col("component").alias("new"))
+    return found.join(moved, found.component == moved.old, "left").select("id", F.coalesce("new", "component").alias("component")).unionByName(joined.join(found.select("id"), "id", "left_anti"))
+
+
 def likely_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """The rows of ``df`` whose ``key`` may be among ``keys`` (k): a filter ahead of a join, so that fewer rows are shuffled.
 
@@ -80,7 +95,7 @@ def linked_components(
     more = more.join(x, F.col("id") == F.col("xi")).select("key", "id", F.col("lx").alias("load"))
     members = stored(two.unionByName(more))
     verify, settle = prepare(members.select("id").distinct())
-    found, links = None, None
+    found = None
     for r in range(rounds + 1):
         if found is None:
             placed = members.withColumn("component", F.col("id"))
@@ -108,8 +123,7 @@ def linked_components(
             pairs = pairs.where(near(F.col("load"), F.col("ly"))).select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b"))
             fresh = stored(verify(pairs.distinct()))
         if not fresh.isEmpty():
-            links = fresh if links is None else links.unionByName(fresh)
-            found = stored(components(links))
+            found = stored(components(fresh) if found is None else merged(found, fresh))
     if found is None:
         return members.select("id", F.col("id").alias("component")).limit(0)
     return found
