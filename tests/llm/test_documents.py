@@ -476,6 +476,24 @@ def test_simhash_is_a_vote_of_word_pairs(spark):
     assert got[1] == vote(list(zip(w, w[1:]))) and got[2] == h["delta", "delta"]
 
 
+def test_near_groups_find_what_edit_similarity_links(spark):
+    """Recall against brute force over all pairs, with no filter ahead of it."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9)))
+    rows = []
+    for i in range(60):
+        w = [word() for _ in range(rng.integers(4, 30))]
+        other = list(w)
+        for k in rng.choice(len(w), max(1, len(w) // 10), replace=False):
+            other[k] = word()
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(other))]
+    got = {r.doc_id: r.group_id for r in linededup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    links = [(a, b) for a, x in rows for b, y in rows if a < b and min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and edit_distance(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9]
+    assert len(links) > 40 and sum(got[a] == got[b] for a, b in links) >= 0.95 * len(links)
+    whole = groups_of([a for a, _ in rows], links)
+    assert all(whole[a] == whole[b] for a in got for b in got if got[a] == got[b])
+
+
 def test_lines_odd(odd, empty, clashing):
     got = {(r.doc_id, r.line_no): r.kept for r in linededup.line_groups(odd).collect()}
     assert got[1, 0] and not got[6, 0] and not got[8, 1] and got[8, 0] and not any(d in (2, 3, 4, 7) for d, _ in got)

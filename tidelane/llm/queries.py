@@ -23,7 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_media": lambda spark, sf_dir: media.features(media.to_media(documents(spark, sf_dir))),
     "op7_langid": _on_documents(langid.predictions),
     "op8_merkle": _on_documents(merkle.fingerprints),
-    "op9_linededup": _on_documents(linededup.line_groups),
+    "op9_linededup": _on_documents(linededup.near_groups),
     "op10_setsketch": _on_documents(setsketch.linked, words=3, percent=85),
 }
 
