@@ -494,6 +494,13 @@ def test_near_groups_find_what_edit_similarity_links(spark):
     assert all(whole[a] == whole[b] for a in got for b in got if got[a] == got[b])
 
 
+def test_numbers_signs_and_marks_of_lines_count(spark):
+    texts = ["Price: 10", "Price: 99", "reouti anatha. 19.37.233.111", "reouti anatha.", "555 0100", "555 0100", "-----", " ----- ", "\u0915\u093f", "\u0915\u0940", "", "  Price:\t10"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = {r.doc_id: r.text for r in linededup.without_repeats(docs).collect()}
+    assert [i for i, x in enumerate(texts) if left[i] != x] == [5, 7, 11]
+
+
 def test_lines_odd(odd, empty, clashing):
     got = {(r.doc_id, r.line_no): r.kept for r in linededup.line_groups(odd).collect()}
     assert got[1, 0] and not got[6, 0] and not got[8, 1] and got[8, 0] and not any(d in (2, 3, 4, 7) for d, _ in got)
