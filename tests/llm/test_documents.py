@@ -80,6 +80,14 @@ def test_field_spreads_labels(spark):
     assert got[2].spans == got[3].spans == "" and got[3].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_spaced_phones_and_long_mailboxes_are_added(spark):
+    box = "name" * 30
+    texts = ["call +1 (487) 555-7209 now. Later (487) 555-7209, or 555-7209, or in 2019 487 555 7209; not 12 34 56.", f"mail {box}@x.org now, later {box}@x", "a +1 (487) 555-7209 b"]
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {texts[0][int(s) : int(e)] for _, s, e in (x.split(":") for x in got[0].split(","))} == {"+1 (487) 555-7209", "(487) 555-7209", "555-7209", "487 555 7209"}
+    assert pii.tokens(texts[1], pii.base_spans(texts[1]))[1][0] == texts[1].rindex(box)
+
+
 def test_messages_agree_with_enumeration():
     """On a tree, loopy message passing is exact."""
     rng = np.random.default_rng(0)

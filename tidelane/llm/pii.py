@@ -28,6 +28,8 @@ _CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[@0-9]\S*")
+_NUMBERS = re.compile(r"[0-9(][0-9 ().-]*[0-9]")
+_PIECE = re.compile(r"[^ ]+")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
 
@@ -88,6 +90,8 @@ def keys(token: str) -> list[str]:
         out.append("d" + digits)
         if len(digits) >= 10:
             out.append("e" + digits[-10:])
+        if len(digits) <= 15 and token.count(".") < 3:
+            out.append("f" + digits[-7:])
     if "@" in token:
         whole = token.strip("<>()[]{},;:.!?\"'").lower()
         out.append("t" + whole)
@@ -99,19 +103,50 @@ def keys(token: str) -> list[str]:
     return out
 
 
+def spaced_repeats(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of numbers written with blanks that have all, the last ten or the last seven digits of a phone in ``base``."""
+    known = set()
+    for k, s, e in base:
+        if KINDS[k] == "phone":
+            digits = _NOT_DIGIT.sub("", text[s:e])
+            known |= {digits, *(digits[-n:] for n in (10, 7) if len(digits) >= n)}
+    out, last = [], 0
+    if not known:
+        return out
+    for s, e in [*sorted((s, e) for _, s, e in base), (len(text), len(text))]:
+        for m in _NUMBERS.finditer(text, last, s) if s > last else ():
+            pieces = [(p.start(), p.end(), _NOT_DIGIT.sub("", p.group())) for p in _PIECE.finditer(text, m.start(), m.end())]
+            free = 0
+            for i, (start, _, digits) in enumerate(pieces):
+                if i < free or not digits or (start and text[start - 1].isalnum()):
+                    continue
+                whole, found = digits, 0
+                for j in range(i + 1, len(pieces)):
+                    whole += pieces[j][2]
+                    if len(whole) > 15:
+                        break
+                    if pieces[j][2] and whole in known and not text[pieces[j][1] : pieces[j][1] + 1].isalnum():
+                        found = j
+                if found:
+                    out.append((start, pieces[found][1]))
+                    free = found + 1
+        last = max(last, e)
+    return out
+
+
 def tokens(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, end, label) of each token that holds a digit or an ``@``, and of each base span.
 
     A base span is one token with its label; what stands around it inside its blanks-free run is left out.
-    The rest gets label -1: the field decides.
+    A repeat of a base phone is one token, also over blanks. The rest gets label -1: the field decides.
     """
-    spans = sorted((s, e, k + 1) for k, s, e in base)
+    spans = sorted([*((s, e, k + 1) for k, s, e in base), *((s, e, -1) for s, e in spaced_repeats(text, base))])
     out, last = [], 0
     for s, e, k in [*spans, (len(text), len(text), 0)]:
         if s > last:
             for m in _TOKEN.finditer(text, last, s):
                 start = m.start()
-                while start > max(last, m.start() - 64) and not text[start - 1].isspace():
+                while start > last and not text[start - 1].isspace():
                     start -= 1
                 out.append((start, m.end(), -1))
         if k and s >= last:
@@ -219,7 +254,7 @@ def label_texts(texts: list[str], learned: dict[str, np.ndarray]) -> list[tuple[
             s, e, k = ends[i]
             if k < 0:
                 token = texts[owner[i]][s:e]
-                lead = len(token) - len(token.lstrip("<([{\"',;:.!?"))
+                lead = 0 if " " in token else len(token) - len(token.lstrip("<([{\"',;:.!?"))
                 tail = len(token) - len(token.rstrip(">)]}\"',;:.!?"))
                 added[owner[i]].append((int(top[i]) - 1, s + lead, e - tail))
     return list(zip(base, added, strict=True))
@@ -235,7 +270,7 @@ def find(docs: DataFrame, learned: dict[str, np.ndarray] | None = None) -> DataF
     The patterns' spans always stay and are what the counts and the digest hold. The field is over tokens with
     a digit or an ``@``; all others are ``other`` for sure. Its potentials come from ``learned``, or are learned
     from all of ``docs``: shares of labels by shape. Tokens in a document that share a key (digits, the last ten
-    digits, address, mailbox name) pull each other to one label, so a bare repeat of a number or address that is
+    or seven digits, address, mailbox name) pull each other to one label, so a bare repeat of a number or address that is
     certain elsewhere is added to spans. Offsets are code points. Null text is empty; a row in, a row out;
     repeated rows repeat. Added spans cannot touch base ones.
     """
