@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidelane.llm import chat, katz, langid, linededup, media, merkle, mixing, packing, pii, setsketch, words
+from tidelane.llm import chat, components, katz, langid, linededup, media, merkle, mixing, packing, pii, setsketch, words
 
 
 def rows_of(docs):
@@ -105,6 +105,32 @@ def test_messages_agree_with_enumeration():
     assert np.allclose(got, p / p.sum(axis=1, keepdims=True), atol=1e-2)
 
 
+def test_pii_odd(odd, empty, clashing, spark):
+    got = {r.doc_id: r for r in pii.find(odd).collect()}
+    assert len(got) == 10 and got[2].spans == got[3].spans == "" and pii.find(odd).count() == 11
+    assert pii.find(empty).count() == 0 and pii.find(clashing).count() == 11
+    zeros = spark.createDataFrame([(None, "0" * 6000 + ".1.1.1 " + "1.1.1." + "0" * 5000 + "9")], "doc_id long, text string")
+    assert pii.find(zeros).first().n_ip == 2
+
+
+def test_field_adds_what_is_supported_and_no_refused_pattern(spark):
+    """Planted repeats are found, the same words without support are left alone, in whatever order and batch they come."""
+    rows, want = [], set()
+    for i in range(60):
+        number = f"{2125550100 + 7 * i}"
+        full = f"+1 ({number[:3]}) {number[3:6]}-{number[6:]}"
+        text = f"Reach me: {full} in room {i + 100}. " + "some words here " * (i % 5) + f"dial {number} or pay 4111 1111 1111 {1112 + i % 7} by {1900 + i}"
+        rows.append((i, text))
+        want.add((i, "phone", text.index(f"dial {number}") + 5))
+    rows += [(100 + i, f"order {5000000000 + i} of 4111111111111112 at 300.1.1.1 in {1900 + i}") for i in range(60)]
+    base = {i: {(pii.KINDS[k], s) for k, s, _ in pii.base_spans(t)} for i, t in rows}
+    one = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    two = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(7)).collect()}
+    assert one == two
+    added = {(i, k, int(s)) for i, spans in one.items() for k, s, _ in (x.split(":") for x in spans.split(",") if x) if (k, int(s)) not in base[i]}
+    assert added == want
+
+
 # --- op2
 
 
@@ -215,12 +241,13 @@ def brute_best_fit(lengths, caps, opening):
         n = lengths[i]
         if not n:
             continue
-        rest = sum(lengths[j] for j in range(len(lengths)) if j not in where and j != i)
+        spare = sum(c - u for c, u in open_)
+        filler = {c: max(0, sum(lengths[j] for j in range(len(lengths)) if j not in where and j != i and lengths[j] <= c - n) - spare) for c in caps if c >= n}
         fits = [b for b in range(len(open_)) if open_[b][0] - open_[b][1] >= n]
         if fits:
             b = min(fits, key=lambda b: (open_[b][0] - open_[b][1], b))
         else:
-            open_.append([packing.opening_size(n, rest, caps, opening), 0])
+            open_.append([packing.opening_size(n, filler, caps, opening), 0])
             b = len(open_) - 1
         open_[b][1] += n
         where[i] = b
@@ -236,6 +263,32 @@ def test_best_fit_agrees_with_a_plain_version():
         assert {i: b for i, b in enumerate(where) if b >= 0} == want and capacity == caps
 
 
+def test_sizes_are_traded():
+    """Several sizes are opened, and less is padded than with the largest alone."""
+    rng = np.random.default_rng(4)
+    caps, opened = packing.CAPACITIES, []
+    lengths = [*rng.integers(900, 2600, 900).tolist(), *rng.integers(5, 200, 400).tolist()]
+    size = packing.opening_size
+
+    def noted(*a):
+        opened.append(size(*a))
+        return opened[-1]
+
+    packing.opening_size = noted
+    try:
+        total = sum(packing.best_fit(lengths)[2])
+    finally:
+        packing.opening_size = size
+    single = sum(packing.best_fit(lengths, (max(caps),))[2])
+    assert len(set(opened)) >= 2 and total < single
+
+
+def test_repeated_rows_are_dealt(spark):
+    docs = spark.createDataFrame([(1, "a b c")] * 1000 + [(2, "d")], "doc_id long, text string")
+    got = packing.pack(docs, (8, 16), shard_docs=100).collect()
+    assert len(got) == 1001 and len({r.bin_id.split("-")[0] for r in got}) > 1
+
+
 # --- op4
 
 
@@ -244,13 +297,58 @@ def test_viterbi_in_blocks_is_the_whole_path(spark):
     one = turns.withColumn("turn", F.row_number().over(__import__("pyspark").sql.Window.orderBy("conv_id", "turn")).cast("long") - 1).withColumn("conv_id", F.lit(7).cast("long"))
     model = chat.learn(turns)
     raw = chat.transcripts(one).select("conv_id", "turn", "text").cache()
-    cut = chat.parse(raw, model, block_turns=3).collect()
-    whole = chat.parse(raw, model, block_turns=10**6).collect()
+    cut = chat.parse(raw, model, block_lines=7).collect()
+    whole = chat.parse(raw, model, block_lines=10**6).collect()
 
-    def roles(rows):
-        return [r.role for r in sorted(rows, key=lambda r: (r.block, r.piece)) for _ in range(r.n_lines)]
+    def ordered(rows):
+        return sorted(rows, key=lambda r: (r.block, r.piece))
 
-    assert len({r.block for r in cut}) > 10 and roles(cut) == roles(whole)
+    assert len({r.block for r in cut}) > 10 and [r.role for r in ordered(cut) for _ in range(r.n_lines)] == [r.role for r in ordered(whole) for _ in range(r.n_lines)]
+    assert "\n".join(r.rendered for r in ordered(cut)) == "\n".join(r.rendered for r in ordered(whole)) and all(r.begins for r in whole)
+
+
+def test_parsed_conversations_are_the_best_paths(spark):
+    """The query's rows against a plain Viterbi over each whole conversation."""
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    held = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4 == 2
+    raw = chat.transcripts(turns)
+    model = chat.learn(raw.where(~held))
+    lines = defaultdict(list)
+    for r in chat.features(raw).collect():
+        lines[r.conv_id].append((r.turn, r.line_no, r.look, chat.MARKS.index(r["mark"])))
+    want = set()
+    for conv, own in lines.items():
+        own.sort()
+        v, back = None, []
+        for _, _, look, mark in own:
+            e = model["emit"][:, look] + model["mark"][:, mark]
+            if v is None:
+                v = model["start"] + e
+            else:
+                back.append([max(range(6), key=lambda a: v[a] + model["move"][a, b]) for b in range(6)])
+                v = np.array([max(v[a] + model["move"][a, b] for a in range(6)) for b in range(6)]) + e
+        path = [int(v.argmax())]
+        for b in reversed(back):
+            path.append(b[path[-1]])
+        path.reverse()
+        at = [k for k, st in enumerate(path) if chat.STATES[st][1]] + [len(path)]
+        want |= {(conv, chat.ROLES[chat.STATES[path[a]][0]], own[a][0], b - a) for a, b in zip(at, at[1:])}
+    got = chat.parse_conversations(turns).collect()
+    assert {(r.conv_id, r.role, r.first_turn, r.n_lines) for r in got} == want and len(got) == len(want)
+
+
+def test_roles_make_no_part_of_transcripts(spark):
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    other = turns.withColumn("role", F.lit("user"))
+    a, b = ({(r.conv_id, r.turn): r.text for r in chat.transcripts(t).collect()} for t in (turns, other))
+    assert a == b
+
+
+def test_named_markers_are_read(spark):
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    text = "System: Be kind.\nHuman: Where is it?\nI lost it.\n[assistant]: Over there, behind the house.\nUser: Thanks."
+    got = chat.parse(spark.createDataFrame([(1, 0, text)], "conv_id long, turn long, text string"), chat.learn(chat.transcripts(turns))).orderBy("piece").collect()
+    assert [r.role for r in got] == ["system", "user", "assistant", "user"] and got[1].rendered == "<|user|>\nWhere is it?\nI lost it.\n<|end|>"
 
 
 def test_viterbi_is_the_best_path():
@@ -266,9 +364,10 @@ def test_viterbi_is_the_best_path():
 
 
 def test_chat_recovers_roles(spark):
+    """From lines and unnamed dashes alone; always guessing the commonest role is right for about half."""
     turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
     got = chat.parse_conversations(turns).where("held_out and begins").collect()
-    assert sum(bool(r.right) for r in got) / len(got) > 0.8
+    assert sum(bool(r.right) for r in got) / len(got) > 0.7
 
 
 def test_chat_odd(spark):
@@ -352,6 +451,16 @@ def test_media_queries(odd, empty, clashing):
         media.thumbnails([b"no image"])
 
 
+def test_null_and_broken_media_cost_their_own_row(spark, small):
+    good = media.to_media(small.where("doc_id < 5"))
+    kind = "doc_id long, n_bytes long, media binary"
+    bad = spark.createDataFrame([(900, 0, None), (901, 8, b"no image"), (902, 4, b"\xff\xd8\xff"), (903, 0, b"")], kind)
+    got = {r.doc_id: r for r in media.features(good.unionByName(bad).coalesce(1)).collect()}
+    want = {r.doc_id: r for r in media.features(good).collect()}
+    assert all(got[i] == r and r.error is None for i, r in want.items())
+    assert all(got[i].payload_sha256 is None and got[i].error for i in (900, 901, 902, 903)) and got[900].media_bytes is None
+
+
 # --- op7
 
 
@@ -376,10 +485,60 @@ def test_em_does_not_lower_the_likelihood():
     rng = np.random.default_rng(2)
     logp = np.log(rng.dirichlet(np.ones(langid.GRAMS), size=3))
     x = rng.integers(0, 2, (4, langid.GRAMS))
-    likes = [langid.mixture(x, logp, np.ones((4, 3), dtype=np.float32), steps)[1] for steps in range(1, 8)]
+    likes = [langid.mixture(x, logp, np.ones((4, 3)), steps)[1] for steps in range(1, 8)]
     assert all((b >= a - 0.5).all() for a, b in zip(likes, likes[1:]))
 
 
+def test_texts_count_alike_in_any_batch(small):
+    texts = [t for _, t in rows_of(small)][:60] + ["one", "", "zwei", "  tre  ", "x"]
+    batch = langid.gram_counts(texts)
+    assert all((batch[i] == langid.gram_counts([t])[0]).all() for i, t in enumerate(texts))
+
+    def brute(text):
+        b = re.sub(rb"[^A-Za-z\x80-\xff]+", b" ", b" " + text.lower().encode() + b" ")
+        out = np.zeros(langid.GRAMS, dtype=np.int64)
+        for k in range(len(b) - 2):
+            code = (((b[k] * 65599 + b[k + 1]) * 65599 + b[k + 2]) % 2**32 * 2654435761) % 2**32 >> 20
+            out[code] += 1
+        return out
+
+    assert all((batch[i] == brute(t)).all() for i, t in enumerate(texts))
+
+
+def test_predictions_agree_with_a_plain_version(spark):
+    """Learning, mixture and choice of the set, one text at a time, over every subset of languages."""
+    from itertools import combinations
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    rows = docs.select("doc_id", "text", "lang").collect()
+    langs = sorted({r.lang for r in rows if r.lang})
+    table = np.full((len(langs), langid.GRAMS), 0.5)
+    for r in rows:
+        if not held(r.doc_id) and r.lang:
+            table[langs.index(r.lang)] += langid.gram_counts([r.text])[0]
+    logp = np.log(table / table.sum(axis=1, keepdims=True))
+    got = {r.doc_id: r for r in langid.predictions(docs).collect()}
+    agree = 0
+    for r in rows:
+        x = langid.gram_counts([r.text])[0].astype(float)
+        best = None
+        for k in range(1, len(langs) + 1):
+            for some in combinations(range(len(langs)), k):
+                share = np.full(k, 1 / k)
+                for _ in range(300 if k > 1 else 0):
+                    mix = share @ np.exp(logp[list(some)])
+                    new = share * (np.exp(logp[list(some)]) @ (x / mix)) / x.sum()
+                    if np.abs(new - share).max() < 1e-5:
+                        break
+                    share = new
+                like = (x * np.log(share @ np.exp(logp[list(some)]))).sum() - (k - 1) * 0.5 * np.log(x.sum())
+                if best is None or like > best[0] + 1e-6:
+                    best = like, langs[some[int(share.argmax())]], {langs[i] for i in some}
+        agree += best[1] == got[r.doc_id].lang_pred and best[2] == set(got[r.doc_id].lang_set.split(","))
+    assert agree >= 0.98 * len(rows)
+
+
 def test_language_odd(odd, empty, clashing):
     got = {r.doc_id: r for r in langid.predictions(odd).collect()}
     assert [got[i].lang_pred for i in (2, 3, 4, 7)] == ["und"] * 4 and got[2].score == 0
@@ -405,12 +564,51 @@ def test_merkle(small, odd, empty, clashing):
     assert merkle.fingerprints(empty).count() == 0
 
 
-def test_branches_locate_the_edit():
-    lines = [f"Paragraph number {i} says something about the topic." for i in range(40)]
-    a, b = merkle.Tree("\n".join(lines)), merkle.Tree("\n".join([*lines[:25], "An edit.", *lines[26:]]))
-    s, p = map(int, merkle.first_difference(a, b).split("/"))
-    assert sum(len(x) for x in a.shape[:s]) + p == 25 and a.root != b.root and 0.9 < merkle.likeness(a, b) < 1
-    assert merkle.first_difference(a, merkle.Tree("\n".join(lines))) == "" and merkle.Tree("").root == merkle.Tree("").root
+def test_branches_locate_all_edits():
+    lines = [f"Paragraph number {i} says something about the topic." for i in range(60)]
+    new = [*lines[:5], *lines[6:25], "An edit.", *lines[26:40], "One more paragraph.", *lines[40:]]
+    a, b = merkle.Tree("\n".join(lines)), merkle.Tree("\n".join(new))
+    place = lambda tree, x: sum(len(k) for k in tree.shape[: int(x[1:].split("/")[0])]) + int(x.split("/")[1])
+    got = merkle.differences(a, b)
+    gone = {place(a, x) for x in got if x[0] in "=-"}
+    come = {place(b, x) for x in got if x[0] == "+"}
+    assert {5, 25} <= gone and 39 in come and len(gone) + len(come) <= 4 and 0.9 < merkle.likeness(a, b) < 1
+    assert merkle.differences(a, merkle.Tree("\n".join(lines))) == [] and merkle.Tree("").root == merkle.Tree("").root
+
+
+def test_roots_and_likeness_agree_with_a_plain_version(small):
+    """Leaves, paragraphs, sections and root hashed anew, without the tree's own code."""
+    h = lambda x: hashlib.blake2b(x, digest_size=16).digest()
+
+    def plain(text):
+        leaves, sections, own = Counter(), [], []
+        lines = text.split("\n") if text else []
+        for i, line in enumerate(lines):
+            at, kids = 0, b""
+            while at < len(line):
+                end = min(len(line), at + 160)
+                for k in range(at + 24, min(len(line) - 1, at + 161)):
+                    if line[k] in ".,;:!?dsy" and line[k + 1] in " \t":
+                        end = k + 2
+                        break
+                d = h(line[at:end].encode())
+                leaves[d] += end - at
+                kids, at = kids + d, end
+            own.append(h(b"p" + kids))
+            if not line or own[-1][0] % 8 == 0 or i == len(lines) - 1:
+                sections.append(h(b"s" + b"".join(own)))
+                own = []
+        return h(b"r" + b"".join(sections)), leaves
+
+    rows = sorted(rows_of(small.where("doc_id < 80")))
+    got = {r.doc_id: r for r in merkle.fingerprints(small.where("doc_id < 80")).collect()}
+    for k, (i, t) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        n = len(t) // 4
+        (a, x), (b, y), (c, z) = plain(t), plain(t[: len(t) - n] + after[:n]), plain(after)
+        like = lambda p, q, u, v: 1.0 if u == v else 2 * (p & q).total() / (p.total() + q.total())
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (a.hex(), b.hex())
+        assert got[i].near_edited == pytest.approx(like(x, y, a, b)) and got[i].near_next == pytest.approx(like(x, z, a, c))
 
 
 # --- op9
@@ -439,51 +637,6 @@ def groups_of(ids, links):
     return {i: root(i) for i in ids}
 
 
-def variants(spark):
-    base = [f"The quick brown fox number {c} jumps over the lazy dog while seventeen patient herons watch the river bank from {c * 3} tall reeds" for c in "abcdefgh"]
-    rows = []
-    for i, b in enumerate(base * 6):
-        w = b.split()
-        w[i % len(w)] += "s" if i % 3 else ""
-        rows.append((i, "\n".join([" ".join(w), "12 34", base[i % 8].upper(), f"Only here {chr(97 + i % 26) * 5} {i}"])))
-    return spark.createDataFrame(rows, "doc_id long, text string")
-
-
-def test_line_groups(spark, small):
-    for docs in (variants(spark), small.where("doc_id < 40")):
-        own = linededup.with_simhash(linededup.lines(docs))
-        value = {r.id: r.simhash for r in own.collect()}
-        norm = {r.id: ' '.join(r.words) for r in linededup.lines(docs).collect()}
-        ids, links = sorted(value), []
-        for i, a in enumerate(ids):
-            for b in ids[i + 1 :]:
-                if ((value[a] ^ value[b]) % 2**64).bit_count() <= 3 and edit_distance(norm[a], norm[b]) <= 0.2 * max(len(norm[a]), len(norm[b])) + 1e-9:
-                    links.append((a, b))
-        want = groups_of(ids, links)
-        got = linededup.line_groups(docs).collect()
-        at = {(r.doc_id, r.line_no): r.id for r in linededup.lines(docs).select("doc_id", "line_no", "id").collect()}
-        assert {(r.doc_id, r.line_no): r.group_id for r in got} == {k: want[i] for k, i in at.items()}
-        first = {}
-        for k in sorted(at):
-            first.setdefault(want[at[k]], k)
-        assert {(r.doc_id, r.line_no) for r in got if r.kept} == set(first.values())
-
-
-def test_simhash_is_a_vote_of_word_pairs(spark):
-    docs = spark.createDataFrame([(1, "alpha beta gamma\nAlpha beta gamma, delta epsilon zeta\n" + "delta " * 70000 + "x")], "doc_id long, text string")
-    h = {(r.a, r.b): r.h % 2**64 for r in spark.sql(
-        "select a, b, xxhash64(struct(a, b)) as h from values ('alpha', 'beta'), ('beta', 'gamma'), ('gamma', null), ('gamma', 'delta'), ('delta', 'epsilon'), ('epsilon', 'zeta'), ('zeta', 'alpha'), ('alpha', null), ('delta', 'delta') as t(a, b)"
-    ).collect()}
-    got = {r.line_no: r.simhash % 2**64 for r in linededup.with_simhash(linededup.lines(docs)).collect()}
-
-    def vote(pairs):
-        return sum(1 << b for b in range(64) if 2 * sum(h[p] >> b & 1 for p in pairs) > len(pairs))
-
-    assert got[0] == vote([("alpha", "beta"), ("beta", "gamma"), ("gamma", None)])
-    w = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "alpha", None]
-    assert got[1] == vote(list(zip(w, w[1:]))) and got[2] == h["delta", "delta"]
-
-
 def test_near_groups_find_what_edit_similarity_links(spark):
     """Recall against brute force over all pairs, with no filter ahead of it."""
     rng = np.random.default_rng(3)
@@ -509,13 +662,62 @@ def test_numbers_signs_and_marks_of_lines_count(spark):
     assert [i for i, x in enumerate(texts) if left[i] != x] == [5, 7, 11]
 
 
+def test_recall_of_lines_on_documents(spark, small):
+    """Against edit similarity over all pairs of distinct lines below 700 characters, with nothing ahead of it that loses a pair."""
+    got = linededup.near_groups(small).collect()
+    text = {i: t for i, t in rows_of(small)}
+    norm = {" ".join(text[r.doc_id].split("\n")[r.line_no].lower().split()): r.group_id for r in got}
+    lines = sorted(x for x in norm if len(x) < 700)
+    size = np.array([len(x) for x in lines])
+    has = np.zeros((len(lines), 8192), dtype=np.float32)
+    for i, x in enumerate(lines):
+        has[i, [hash(x[k : k + 3]) % 8192 for k in range(len(x) - 2)]] = 1
+    lost = has.sum(axis=1)[:, None] - has @ has.T  # grams of one line that the other lacks: each edit breaks three at most
+    longer = np.maximum(size[:, None], size[None, :])
+    may = (np.minimum(size[:, None], size[None, :]) >= 0.8 * longer) & (lost <= 0.6 * longer) & (lost.T <= 0.6 * longer)
+    pairs = [(int(i), int(j), lines[i], lines[j]) for i, j in zip(*np.nonzero(np.triu(may, 1)), strict=True)]
+    linked = spark.createDataFrame(pairs, "i int, j int, a string, b string").where("levenshtein(a, b) <= 0.2 * greatest(char_length(a), char_length(b)) + 1e-9").collect()
+    assert len(linked) >= 30 and sum(norm[r.a] == norm[r.b] for r in linked) >= 0.9 * len(linked)
+
+
+def test_first_occurrences_are_kept(spark, small):
+    got = linededup.near_groups(small).collect()
+    first = {}
+    for r in got:
+        first[r.group_id] = min(first.get(r.group_id, (r.doc_id, r.line_no)), (r.doc_id, r.line_no))
+    assert {(r.doc_id, r.line_no) for r in got if r.kept} == set(first.values())
+    same = defaultdict(set)
+    text = {i: t for i, t in rows_of(small)}
+    for r in got:
+        same[" ".join(text[r.doc_id].split("\n")[r.line_no].lower().split())].add(r.group_id)
+    assert all(len(x) == 1 for x in same.values())
+
+
+def test_large_buckets_lose_no_link(spark):
+    """Many lines share a block; those that no hub joins still meet, across blocks of a bucket."""
+    members = spark.createDataFrame([(7, i, i) for i in range(300)], "key long, id long, load long")
+    links = {(i, i + 100) for i in range(100)}
+    pairs = spark.createDataFrame(sorted(links), "la long, lb long")
+    verify = lambda p: p.join(pairs, (p.a == pairs.la) & (p.b == pairs.lb)).select("a", "b")
+    got = components.linked_components(members, lambda x, y: F.lit(True), lambda ids: (verify, None)).collect()
+    assert {r.id: r.component for r in got} == {x: a for a, b in links for x in (a, b)}
+
+
+def test_components_of_any_shape(spark):
+    rng = np.random.default_rng(8)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(1000 + i, 1001 + i) for i in range(70)] + [(5000, 4000 + i) for i in range(500)] + [(3, 3)]
+    ids = {x for a, b in links if a != b for x in (a, b)}
+    got = {r.id: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == groups_of(ids, [(a, b) for a, b in links if a != b])
+
+
 def test_lines_odd(odd, empty, clashing):
-    got = {(r.doc_id, r.line_no): r.kept for r in linededup.line_groups(odd).collect()}
-    assert got[1, 0] and not got[6, 0] and not got[8, 1] and got[8, 0] and not any(d in (2, 3, 4, 7) for d, _ in got)
+    got = {(r.doc_id, r.line_no): r.kept for r in linededup.near_groups(odd).collect()}
+    assert got[1, 0] and not got[6, 0] and not got[8, 1] and got[8, 0] and not any(d in (2, 3, 4) for d, _ in got) and got[7, 0]
     new = linededup.without_repeats(clashing)
     texts = {r.doc_id: r for r in new.collect()}
     assert new.columns == clashing.columns and texts[6].text == "" and texts[6].n_chars == 0 and texts[2].text is None and texts[8].text.endswith("Tür.") and texts[4].text == "   \n\t "
-    assert linededup.line_groups(empty).count() == 0 and linededup.without_repeats(empty).count() == 0
+    assert linededup.near_groups(empty).count() == 0 and linededup.without_repeats(empty).count() == 0
 
 
 # --- op10
@@ -545,6 +747,13 @@ def test_near_duplicates(small, spark):
         assert len(set(want.values())) < len(want)
 
 
+def test_an_id_with_two_texts_keeps_the_links_of_both(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    docs = spark.createDataFrame([(7, a), (7, b), (9, b + " end"), (8, a + " end"), (11, None), (11, a), (12, "")], "doc_id long, text string")
+    got = {r.doc_id: (r.component_id, r.kept) for r in setsketch.linked(docs, 3, 85).collect()}
+    assert got == {7: (7, True), 8: (7, False), 9: (7, False), 11: (7, False), 12: (12, True)}
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(5)
     a = np.unique(rng.integers(0, 2**63, 900).astype(np.uint64))
@@ -590,3 +799,14 @@ def test_documents_lose_what_the_stages_decide(spark):
     kept = corpus_pipeline.near_dedup(spark, docs, "")
     _, want = brute_components(rows_of(docs), 5, 80)
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {i for i, c in want.items() if i == c}
+
+
+def test_pipeline_on_odd_tables(spark, odd, empty, clashing):
+    import corpus_pipeline
+
+    for docs in (odd, clashing, empty):
+        n = docs.count()
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            columns, docs = docs.columns, stage(spark, docs, "")
+            assert docs.columns == columns
+        assert (corpus_pipeline.pack(spark, docs, "").count() > 0) == (n > 0)

@@ -11,32 +11,43 @@ from .common import stored
 
 #: Bits of the filter that goes ahead of joins.
 FILTER_BITS = 1 << 24
+#: Ids of a bucket that meet others at once.
+BLOCK = 64
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.bit_xor(F.xxhash64("u", "v"))).first()
-    return tuple(row)
+def with_least(edges: DataFrame, key: str, value: str) -> DataFrame:
+    """``edges`` (key, value) plus m, the least value of the key.
+
+    The least values are a table of their own, so both sides of the join are plain exchanges: where a key has
+    many rows, adaptive execution splits its partition, and where the table is small, it is broadcast.
+    """
+    least = stored(edges.groupBy(F.col(key).alias("c_")).agg(F.min(value).alias("m")))
+    return edges.join(least, F.col(key) == F.col("c_")).select(*edges.columns, "m")
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether each id of ``edges`` (u, v) is either the end of one edge alone or a centre."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("n")), F.struct(F.col("v").alias("id"), F.lit(0).alias("n")))).alias("e"))
+    ends = ends.groupBy("e.id").agg(F.sum("e.n").alias("n"), F.min("e.n").alias("lo"))
+    return ends.where("n > 1 or (n = 1 and lo = 0)").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for each id that ``links`` (a, b) names; component is the smallest id reachable.
 
-    Large-star and small-star steps take turns until nothing changes. A step sends each neighbour to the
-    smallest id seen, by grouping and joining, so a hub of any degree is spread over tasks. Links of an id
+    Large-star and small-star steps take turns until all edges lead to a centre. A step sends each neighbour to
+    the smallest id seen, by grouping and joining, so a hub of any degree is spread over tasks. Links of an id
     with itself say nothing and are dropped; the empty table gives an empty table.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
-    before, now = None, _mark(edges)
-    while now != before and now[0]:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-        large = both.join(least, both.u == least.c).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
-        small = large.join(least, large.u == least.c).select(
-            F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
-        )
+        large = with_least(both, "u", "v").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        large = stored(large.where("u > v").distinct())
+        # after the first step an id has few smaller neighbours, so none is hot here
+        least = large.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
+        small = large.join(least, large.u == least.c).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = stored(small.select("e.u", "e.v").where("u > v").distinct())
-        before, now = now, _mark(edges)
     ends = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(ends)
 
@@ -71,29 +82,40 @@ def likely_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return at.join(F.broadcast(words), F.expr("p_ div 64 = word_")).where(F.expr("getbit(bits_, cast(p_ % 64 as int)) = 1")).drop("p_", "word_", "bits_")
 
 
+def pairs_in_blocks(rest: DataFrame, near: Callable[[Column, Column], Column]) -> DataFrame:
+    """(a, b): the pairs of ``rest`` (key, id, load, component) that share a key, are of different components and ``near``.
+
+    A key's ids are dealt to blocks of BLOCK on average; each two blocks meet under a key of their own, so a
+    task never holds more of a key than two blocks, and only pairs that are near become rows.
+    """
+    n = stored(rest.groupBy(F.col("key").alias("k")).agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))
+    d = rest.join(n, F.col("key") == F.col("k")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    d = d.withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    d = d.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "load", "component")
+    x = d.where("block = i").select("key", "i", "j", "id", "load", "component")
+    y = d.where("block = j").select(F.col("key").alias("k2"), F.col("i").alias("i2"), F.col("j").alias("j2"), F.col("id").alias("y"), F.col("load").alias("ly"), F.col("component").alias("cy"))
+    apart = (F.col("component") < F.col("cy")) | ((F.col("i") < F.col("j")) & (F.col("component") > F.col("cy")))
+    met = x.join(y, (F.col("key") == F.col("k2")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2")) & apart & near(F.col("load"), F.col("ly")))
+    return met.select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b"))
+
+
 def linked_components(
-    members: DataFrame, loads: DataFrame, near: Callable[[Column, Column], Column], prepare: Callable[[DataFrame], tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame] | None]], rounds: int = 2
+    members: DataFrame, near: Callable[[Column, Column], Column], prepare: Callable[[DataFrame], tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame] | None]], rounds: int = 1
 ) -> DataFrame:
     """(id, component) over all verified links between ids that share a bucket.
 
-    ``members`` (key, id) lists buckets of candidates, ``loads`` (id, load) what ``near`` needs of an id to
+    ``members`` (key, id, load) lists buckets of candidates, load being what ``near`` needs of an id to
     rule out a pair; ``prepare`` gets the ids (id) that are left and returns (verify, rest): ``verify`` takes pairs
     (a, b), a < b, and returns those that are linked. Only connectivity is asked for, so pairs that are
     connected already need no test. In each round every bucket picks one hub and its members are compared
     with the hub alone. What the hubs leave apart is then compared across the remaining components of a
     bucket, so no link is lost; a bucket that the hubs have joined is through. Without ``rest`` that is done
-    pair by pair. ``rest`` takes (id, component, family), where ids that share an unsettled bucket, directly or
+    by ``pairs_in_blocks``. ``rest`` takes (id, component, family), where ids that share an unsettled bucket, directly or
     through others, are a family, and returns links (a, b) that join whatever components of a family are linked.
     """
-    shared = stored(members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi"))
-    x, y = loads.select(F.col("id").alias("xi"), F.col("load").alias("lx")), loads.select(F.col("id").alias("yi"), F.col("load").alias("ly"))
-    two = shared.where("n = 2").select("lo", "hi").distinct().join(x, F.col("lo") == F.col("xi")).join(y, F.col("hi") == F.col("yi")).where(near(F.col("lx"), F.col("ly")))
-    two = two.withColumn("key", F.xxhash64("lo", "hi"))
-    two = two.select("key", F.col("lo").alias("id"), F.col("lx").alias("load")).unionByName(two.select("key", F.col("hi").alias("id"), F.col("ly").alias("load")))
-    large = shared.where("n > 2").select(F.col("key").alias("k"))
-    more = likely_in(members, "key", large).join(large, F.col("key") == F.col("k")).select("key", "id").distinct()
-    more = more.join(x, F.col("id") == F.col("xi")).select("key", "id", F.col("lx").alias("load"))
-    members = stored(two.unionByName(more))
+    shared = stored(members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(F.col("key").alias("k")))
+    members = likely_in(members, "key", shared).distinct()
+    members = stored(members.join(shared, F.col("key") == F.col("k")).select("key", "id", "load"))
     verify, settle = prepare(members.select("id").distinct())
     found = None
     for r in range(rounds + 1):
@@ -101,27 +123,23 @@ def linked_components(
             placed = members.withColumn("component", F.col("id"))
         else:
             f = found.select(F.col("id").alias("fid"), "component")
-            placed = members.join(f, members.id == f.fid, "left").select("key", "id", "load", F.coalesce("component", "id").alias("component"))
+            placed = stored(members.join(f, members.id == f.fid, "left").select("key", "id", "load", F.coalesce("component", "id").alias("component")))
         spread = placed.groupBy("key").agg(
             F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("o"), "id", "load", "component")).alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi")
         )
-        spread = spread.where("lo < hi").select(F.col("key").alias("k"), F.col("hub.id").alias("y"), F.col("hub.load").alias("ly"), F.col("hub.component").alias("cy"))
+        # a table of its own, so that a key with many members can be split in the joins
+        spread = stored(spread.where("lo < hi").select(F.col("key").alias("k"), F.col("hub.id").alias("y"), F.col("hub.load").alias("ly"), F.col("hub.component").alias("cy")))
+        apart = placed.join(spread, placed.key == spread.k)
         if r < rounds:
-            pairs = placed.join(spread, placed.key == spread.k).where("component <> cy")
-        elif settle is not None:
-            rest = stored(placed.join(spread, placed.key == spread.k).select("id", "component", "y"))
+            pairs = apart.where("component <> cy").where(near(F.col("load"), F.col("ly"))).select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b"))
+        elif settle is None:
+            pairs = pairs_in_blocks(stored(apart.select("key", "id", "load", "component")), near)
+        else:
+            rest = stored(apart.select("id", "component", "y"))
             families = components(rest.select(F.col("id").alias("a"), F.col("y").alias("b"))).select(F.col("id").alias("fid"), F.col("component").alias("family"))
             rest = rest.select("id", "component").distinct().join(families, F.col("id") == F.col("fid")).select("id", "component", "family")
             pairs = None
-        else:
-            rest = placed.join(spread, placed.key == spread.k, "left_semi")
-            other = rest.select(F.col("key").alias("k"), F.col("id").alias("y"), F.col("load").alias("ly"), F.col("component").alias("cy"))
-            pairs = rest.join(other, (rest.key == other.k) & (rest.component < other.cy))
-        if pairs is None:
-            fresh = stored(settle(rest))
-        else:
-            pairs = pairs.where(near(F.col("load"), F.col("ly"))).select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b"))
-            fresh = stored(verify(pairs.distinct()))
+        fresh = stored(settle(rest) if pairs is None else verify(pairs.distinct()))
         if not fresh.isEmpty():
             found = stored(components(fresh) if found is None else merged(found, fresh))
     if found is None:

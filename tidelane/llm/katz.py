@@ -22,6 +22,8 @@ from .words import word_codes
 
 #: Words after which a chunk ends, at the end of a document.
 CHUNK_WORDS = 1_000_000
+#: Chunks for each bucket of the word and pair tables, so that a bucket's size does not grow with the corpus.
+CHUNKS = 4
 #: Texts whose words are coded at once.
 TEXTS = 256
 #: Counts up to this are discounted.
@@ -38,11 +40,25 @@ def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def packed(a: np.ndarray) -> bytes:
-    return zlib.compress(a.tobytes(), 1)
+    """Compressed, lowest bytes first: high ones of small numbers are runs of zeros."""
+    return zlib.compress(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(a.size, a.itemsize).T).tobytes(), 1)
 
 
 def unpacked(b: bytes, dtype: type) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(b), dtype=dtype)
+    raw, size = np.frombuffer(zlib.decompress(b), dtype=np.uint8), np.dtype(dtype).itemsize
+    return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).reshape(-1).view(dtype)
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Rising keys of two 32-bit halves: the steps of the upper ones, then the lower ones."""
+    upper = (keys >> np.uint64(32)).astype(np.uint32)
+    return packed(np.concatenate([np.diff(upper, prepend=np.uint32(0)), keys.astype(np.uint32)]))
+
+
+def unpacked_keys(b: bytes) -> np.ndarray:
+    both = unpacked(b, np.uint32)
+    n = len(both) // 2
+    return np.cumsum(both[:n], dtype=np.uint32).astype(np.uint64) << np.uint64(32) | both[n:]
 
 
 def discounts(n_of_n: dict[int, int]) -> np.ndarray:
@@ -196,7 +212,7 @@ def _answer_words(n: int):
             {
                 "bucket": pa.array([bucket] * len(chunks), pa.int32()),
                 "chunk": pa.array(chunks, pa.string()),
-                "answer": pa.array([ids[s:e].tobytes() for s, e in parts], pa.binary()),
+                "answer": pa.array([packed(ids[s:e]) for s, e in parts], pa.binary()),
                 "more": pa.array([packed(sums[index[s:e]]) for s, e in parts], pa.binary()),
                 "total": pa.array([int(sums.sum()), *blank], pa.int64()),
                 "types": pa.array([int((sums > 0).sum()), *blank], pa.int64()),
@@ -220,7 +236,7 @@ def _known(words: np.ndarray, answers: list[tuple[int, bytes, bytes]], n: int) -
     at = {b: (s, e) for b, s, e in runs}
     for b, blob, more in answers:
         s, e = at[b]
-        ids[order[s:e]] = np.frombuffer(blob, dtype=np.uint32)
+        ids[order[s:e]] = unpacked(blob, np.uint32)
         counts[order[s:e]] = unpacked(more, np.int64)
     return ids, counts
 
@@ -252,7 +268,10 @@ class _Pairs:
         spread = _spread(counts, total, n)
         own = (ids[h].astype(np.uint64) * _MIX >> np.uint64(33)).astype(np.int64)
         turn = (ids[w].astype(np.uint64) * _MIX >> np.uint64(35)).astype(np.int64) % spread[h]
-        self.order, self.runs = _bucket_runs((own + turn) % n, n)
+        bucket = (own + turn) % n
+        rising = np.lexsort((ids[w], ids[h]))
+        order, self.runs = _bucket_runs(bucket[rising], n)
+        self.order = rising[order]  # by bucket, then rising by the words' ids
         self.h, self.w = h, w
         # Histories: each asks all buckets that its pairs, those of other chunks too, are dealt over.
         hs = np.unique(h)
@@ -280,10 +299,10 @@ def _pair_questions(n: int, total: int):
             {
                 "bucket": pa.array(buckets, pa.int32()),
                 "chunk": pa.array([row["chunk"]] * len(buckets), pa.string()),
-                "keys": pa.array([cut(keys, pairs, b).tobytes() for b in buckets], pa.binary()),
+                "keys": pa.array([packed_keys(cut(keys, pairs, b)) for b in buckets], pa.binary()),
                 "counts": pa.array([packed(cut(seen, pairs, b)) for b in buckets], pa.binary()),
                 "second": pa.array([packed(cut(second, pairs, b)) for b in buckets], pa.binary()),
-                "histories": pa.array([cut(asked, hist, b).tobytes() for b in buckets], pa.binary()),
+                "histories": pa.array([packed(cut(asked, hist, b)) for b in buckets], pa.binary()),
             }
         )
 
@@ -294,10 +313,10 @@ def _answer_pairs(unigrams: Unigrams):
     def answer(key: tuple, table: pa.Table) -> pa.Table:
         """Each pair's count in training, and each history's sums over this bucket's pairs."""
         chunks = table["chunk"].to_pylist()
-        keys = [np.frombuffer(b, dtype=np.uint64) for b in table["keys"].to_pylist()]
+        keys = [unpacked_keys(b) for b in table["keys"].to_pylist()]
         counts = np.concatenate([unpacked(b, np.int64) for b in table["counts"].to_pylist()])
         second = np.concatenate([unpacked(b, np.int64) for b in table["second"].to_pylist()])
-        asked = [np.frombuffer(b, dtype=np.uint32) for b in table["histories"].to_pylist()]
+        asked = [unpacked(b, np.uint32) for b in table["histories"].to_pylist()]
         unique, at, index = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         sums = np.bincount(index, weights=counts, minlength=len(unique)).astype(np.int64)
         some = sums > 0
@@ -386,8 +405,8 @@ def scored(docs: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     bucket. Only the sums of counts of counts come to the driver.
     """
     spark = docs.sparkSession
-    n = n_buckets(spark)
-    chunks = stored_by(_chunks(docs, chunk_words), "chunk", n)
+    chunks = stored_by(_chunks(docs, chunk_words), "chunk", n_buckets(spark))
+    n = max(n_buckets(spark), -(-chunks.count() // CHUNKS))
     words = stored(chunks.mapInArrow(_word_questions(n), "bucket int, chunk string, words binary, counts binary").groupBy("bucket").applyInArrow(_answer_words(n), ANSWER))
     total, types, n_of_n = _totals(words)
     unigrams = Unigrams(total, n_of_n, types)

@@ -14,11 +14,12 @@ from .common import crc_of_id, unwrapped, wrapped
 
 #: Buckets that hashed byte trigrams fall into; a model has so many numbers a language.
 GRAMS = 4096
+#: Languages that a model may have.
+MOST_LANGUAGES = 1000
 #: Documents a batch holds while it is scored.
 BATCH = 256
-STEPS = 10
-#: Least share of a document at which a language comes into question beside the first.
-LEAST_SHARE = 0.05
+#: A document's steps of expectation-maximisation end when none of its proportions moves by this, or at STEPS.
+MOVE, STEPS = 1e-4, 500
 _LETTER = re.compile(r"[^\W\d_]")
 _BLANK = np.arange(256, dtype=np.uint8)
 _BLANK[[b for b in range(128) if not chr(b).isalpha()]] = 32
@@ -31,7 +32,7 @@ def gram_counts(texts: list[str]) -> np.ndarray:
     data = _BLANK[np.frombuffer(b"".join(parts), dtype=np.uint8)]
     doc = np.repeat(np.arange(len(texts), dtype=np.int64) * GRAMS, sizes)
     keep = np.ones(len(data), dtype=bool)
-    keep[1:] = (data[1:] != 32) | (data[:-1] != 32)
+    keep[1:] = (data[1:] != 32) | (data[:-1] != 32) | (doc[1:] != doc[:-1])
     data, doc = data[keep].astype(np.uint32), doc[keep]
     code = (data[:-2] * np.uint32(65599) + data[1:-1]) * np.uint32(65599) + data[2:]
     code = ((code * np.uint32(2654435761)) >> np.uint32(20)).astype(np.int64)
@@ -47,7 +48,8 @@ def _texts(column: pa.ChunkedArray | pa.Array) -> list[str]:
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, their log-likelihoods of each gram) from all ``docs`` (text, lang) with a language.
 
-    Tasks send their summed counts a language and gram; the result has GRAMS numbers a language.
+    Tasks send their summed counts a language and gram; the result has GRAMS numbers a language, and more
+    than MOST_LANGUAGES languages are an error, as the model is sent to the driver and to every task.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +66,9 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(some), "gram": pa.array(some, pa.int32()), "n": pa.array(sums[some], pa.int64())})
 
     rows = docs.where("lang is not null and text is not null").select("text", "lang").mapInArrow(count, "lang string, gram int, n long")
-    rows = rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()
+    rows = rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")).limit(MOST_LANGUAGES * GRAMS + 1).collect()
+    if len(rows) > MOST_LANGUAGES * GRAMS:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     langs = sorted({r.lang for r in rows})
     table = np.full((len(langs), GRAMS), 0.5)
     for r in rows:
@@ -73,48 +77,57 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def mixture(counts: np.ndarray, logp: np.ndarray, allowed: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """(proportions, log-likelihood) a row, by expectation-maximisation over the ``allowed`` languages."""
-    p = np.exp(logp).astype(np.float32)
-    x = counts.astype(np.float32)
-    share = (allowed / np.maximum(allowed.sum(axis=1, keepdims=True), 1)).astype(np.float32)
-    n = np.maximum(x.sum(axis=1, keepdims=True), 1)
+    """(proportions, log-likelihood) a row, by expectation-maximisation over the ``allowed`` languages.
+
+    A row is through when none of its proportions moves by MOVE; rows do not depend on each other.
+    """
+    p = np.exp(logp)
+    share = (allowed / np.maximum(allowed.sum(axis=1, keepdims=True), 1)).astype(np.float64)
+    open_, x = np.arange(len(counts)), counts.astype(np.float64)
     for _ in range(steps):
-        share = share * ((x / np.maximum(share @ p, 1e-30)) @ p.T) / n
-    return share, (x * np.log(np.maximum(share @ p, 1e-30))).sum(axis=1, dtype=np.float64)
+        if not len(open_):
+            break
+        old = share[open_]
+        new = old * ((x / np.maximum(old @ p, 1e-300)) @ p.T)
+        new /= np.maximum(new.sum(axis=1, keepdims=True), 1e-300)
+        share[open_] = new
+        more = np.abs(new - old).max(axis=1) >= MOVE
+        if not more.all():
+            open_, x = open_[more], x[more]
+    return share, (counts * np.log(np.maximum(share @ p, 1e-300))).sum(axis=1)
 
 
 def choose(counts: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(proportions, chosen set) a row.
 
-    Sets grow along the order of the proportions found over all languages: the k first ones, while the
-    log-likelihood less half a log(n) for each language beyond the first still rises. Likelihoods alone
-    decide between single languages.
+    Sets are the k first languages in the order of the proportions found over all of them, or the likeliest one
+    alone. The set with the largest log-likelihood less half a log(n) for each language beyond the first is
+    chosen, ties to the smaller one; no other threshold has a say.
     """
     n_langs = logp.shape[0]
     n = np.maximum(counts.sum(axis=1), 1)
     single = counts.astype(np.float64) @ logp.T
     order = np.argsort(-single, axis=1, kind="stable")
     rows = np.arange(len(counts))
-    share = np.zeros((len(counts), n_langs), dtype=np.float32)
-    share[rows, order[:, 0]] = 1
+    share, chosen = np.zeros((len(counts), n_langs)), np.zeros((len(counts), n_langs), dtype=bool)
+    share[rows, order[:, 0]], chosen[rows, order[:, 0]] = 1, True
     best = single[rows, order[:, 0]]
     if n_langs > 1:
-        free, _ = mixture(counts, logp, np.ones_like(share))
+        free, like = mixture(counts, logp, np.ones_like(share))
         rank = np.argsort(-free, axis=1, kind="stable")
-        open_ = np.flatnonzero(free[rows, rank[:, 1]] >= LEAST_SHARE)
+        # no set does better than all languages do (1 for what the last steps leave), so larger sets can be ruled out
+        open_ = np.flatnonzero(like + 1 - 0.5 * np.log(n) > best)
         for k in range(2, n_langs + 1):
             if not len(open_):
                 break
-            allowed = np.zeros((len(open_), n_langs), dtype=np.float32)
+            allowed = np.zeros((len(open_), n_langs))
             np.put_along_axis(allowed, rank[open_, :k], 1, axis=1)
-            got, like = mixture(counts[open_], logp, allowed)
-            like = like - (k - 1) * 0.5 * np.log(n[open_])
-            better = like > best[open_] + 1e-9
-            share[open_[better]], best[open_[better]] = got[better], like[better]
-            open_ = open_[better]
-            if k < n_langs:
-                open_ = open_[free[open_, rank[open_, k]] >= LEAST_SHARE]
-    return share, share >= LEAST_SHARE
+            got, own = mixture(counts[open_], logp, allowed)
+            own = own - (k - 1) * 0.5 * np.log(n[open_])
+            better = own > best[open_] + 1e-9
+            share[open_[better]], best[open_[better]], chosen[open_[better]] = got[better], own[better], allowed[better] > 0
+            open_ = open_[like[open_] + 1 - k * 0.5 * np.log(n[open_]) > best[open_]]
+    return share, chosen
 
 
 PREDICTED = "lang_pred string, score double, lang_set string, proportions string"

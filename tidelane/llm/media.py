@@ -377,32 +377,54 @@ def to_media(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(write, f"doc_id {kind}, n_bytes long, media binary")
 
 
-FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
+
+
+def _read(media: list[bytes | None]) -> tuple[list[np.ndarray | None], list[str | None]]:
+    """(thumbnail or None, error or None) of each value: broken bytes cost their own row and no other."""
+    try:
+        return thumbnails([_given(m) for m in media]), [None] * len(media)
+    except (ValueError, IndexError, KeyError):
+        out: list[tuple[np.ndarray | None, str | None]] = []
+        for m in media:
+            try:
+                out.append((None, "no media") if m is None else (thumbnails([m])[0], None))
+            except (ValueError, IndexError, KeyError) as e:
+                out.append((None, f"{type(e).__name__}: {e}"))
+        return [t for t, _ in out], [e for _, e in out]
+
+
+def _given(value: bytes | None) -> bytes:
+    if value is None:
+        raise ValueError("no media")
+    return value
 
 
 def features(media: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of ``media`` (doc_id, n_bytes, media).
 
     The payload is the thumbnail's pixels, read back from the stored bytes. feature holds the image's width
-    and height in pixels and the thumbnail's hash. Bytes that are no baseline JPEG fail the job.
+    and height in pixels and the thumbnail's hash. Bytes that are no baseline JPEG, and null media, give nulls
+    and an error; error is null for all others.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in _some(big, "media"):
                 media = batch.column("media").to_pylist()
-                thumbs = thumbnails(media)
-                payload = [t.tobytes() for t in thumbs]
+                thumbs, errors = _read(media)
+                payload = [None if t is None else t.tobytes() for t in thumbs]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": batch.column("doc_id"),
                         "n_bytes": batch.column("n_bytes"),
-                        "payload_bytes": pa.array([len(p) for p in payload], pa.int64()),
-                        "payload_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in payload]),
-                        "tail_crc32": pa.array([zlib.crc32(p[-64:]) for p in payload], pa.int64()),
-                        "media_bytes": pa.array([len(m) for m in media], pa.int64()),
-                        "media_sha256": pa.array([hashlib.sha256(m).hexdigest() for m in media]),
-                        "feature": pa.array([f"{8 * t.shape[1]}x{8 * t.shape[0]}:{thumbnail_hash(t)}" for t in thumbs]),
+                        "payload_bytes": pa.array([None if p is None else len(p) for p in payload], pa.int64()),
+                        "payload_sha256": pa.array([None if p is None else hashlib.sha256(p).hexdigest() for p in payload], pa.string()),
+                        "tail_crc32": pa.array([None if p is None else zlib.crc32(p[-64:]) for p in payload], pa.int64()),
+                        "media_bytes": pa.array([None if m is None else len(m) for m in media], pa.int64()),
+                        "media_sha256": pa.array([None if m is None else hashlib.sha256(m).hexdigest() for m in media], pa.string()),
+                        "feature": pa.array([None if t is None else f"{8 * t.shape[1]}x{8 * t.shape[0]}:{thumbnail_hash(t)}" for t in thumbs], pa.string()),
+                        "error": pa.array(errors, pa.string()),
                     }
                 )
 

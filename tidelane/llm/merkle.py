@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,6 +20,10 @@ _LEAF = re.compile(r".{24,160}?[.,;:!?dsy][ \t]|.{1,160}", re.S)
 SECTION = 8
 
 
+#: Runs of documents that a task gets on average.
+RUNS = 4
+
+
 def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
@@ -59,15 +64,58 @@ def likeness(a: Tree, b: Tree) -> float:
     return 2.0 * sum(min(n, large[d]) for d, n in small.items() if d in large) / total if total else 0.0
 
 
-def first_difference(a: Tree, b: Tree) -> str:
-    """``section/paragraph`` of the first branch that differs, empty for equal roots: only differing branches are entered."""
+def matched(a: list[bytes], b: list[bytes]) -> list[tuple[int | None, int | None]]:
+    """Places of ``a`` and ``b`` side by side, in order: equal digests, else a lone or two differing ones.
+
+    Equal ends are taken off first; each branch of ``b`` between them is matched with the next equal one of ``a``.
+    """
+    lo = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    hi = next((i for i, (x, y) in enumerate(zip(reversed(a[lo:]), reversed(b[lo:]))) if x != y), min(len(a), len(b)) - lo)
+    at: dict[bytes, list[int]] = {}
+    for i in range(lo, len(a) - hi):
+        at.setdefault(a[i], []).append(i)
+    pairs, i, j = [(k, k) for k in range(lo)], lo, lo
+
+    def apart(to_i: int, to_j: int) -> None:
+        n = max(to_i - i, to_j - j)
+        pairs.extend((i + k if i + k < to_i else None, j + k if j + k < to_j else None) for k in range(n))
+
+    for k in range(lo, len(b) - hi):
+        places = at.get(b[k], [])
+        p = bisect_left(places, i)
+        if p < len(places):
+            apart(places[p], k)
+            pairs.append((places[p], k))
+            i, j = places[p] + 1, k + 1
+    apart(len(a) - hi, len(b) - hi)
+    return pairs + [(len(a) - hi + k, len(b) - hi + k) for k in range(hi)]
+
+
+def differences(a: Tree, b: Tree) -> list[str]:
+    """All branches that differ: ``=i/p`` for a changed paragraph p of section i of ``a``, ``-i/p`` for one that ``b`` lacks, ``+j/q`` for one that only ``b`` has.
+
+    Only branches with differing digests are entered.
+    """
+    out: list[str] = []
     if a.root == b.root:
-        return ""
-    for i in range(max(len(a.sections), len(b.sections))):
-        if a.sections[i : i + 1] != b.sections[i : i + 1]:
-            x, y = (a.shape[i : i + 1] or [[]])[0], (b.shape[i : i + 1] or [[]])[0]
-            return f"{i}/{next((j for j in range(max(len(x), len(y))) if x[j : j + 1] != y[j : j + 1]), 0)}"
-    return ""
+        return out
+    runs: list[tuple[list[int], list[int]]] = [([], [])]  # sections between equal ones: an edit may join or cut sections
+    for i, j in matched(a.sections, b.sections):
+        if i is not None and j is not None and a.sections[i] == b.sections[j]:
+            runs.append(([], []))
+            continue
+        runs[-1][0].extend([] if i is None else [i])
+        runs[-1][1].extend([] if j is None else [j])
+    for own, other in runs:
+        x, y = ([(k, p) for k in sections for p in range(len(tree.shape[k]))] for tree, sections in ((a, own), (b, other)))
+        for p, q in matched([a.shape[k][n] for k, n in x], [b.shape[k][n] for k, n in y]):
+            if p is None:
+                out.append("+{}/{}".format(*y[q]))
+            elif q is None:
+                out.append("-{}/{}".format(*x[p]))
+            elif a.shape[x[p][0]][x[p][1]] != b.shape[y[q][0]][y[q][1]]:
+                out.append("={}/{}".format(*x[p]))
+    return out
 
 
 def edited(text: str, after: str) -> str:
@@ -77,7 +125,7 @@ def edited(text: str, after: str) -> str:
 
 
 SCHEMA = (
-    "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_sections int, n_paragraphs int, n_leaves int, first_edit string"
+    "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_sections int, n_paragraphs int, n_leaves int, edits string"
 )
 
 
@@ -90,7 +138,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    n = n_buckets(spark)
+    n = RUNS * n_buckets(spark)  # more runs than tasks, so that tasks get about as many each
     cuts = docs.select(key.alias("k")).agg(F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], 10_000).alias("c")).first().c or []
     cuts = sorted(set(cuts))
     bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<long>"), lambda c: c <= key)) if cuts else F.lit(0)
@@ -101,7 +149,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     both = F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("is_next")), F.struct(F.col("to_").alias("bucket"), F.lit(True).alias("is_next")))
     one = F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("is_next")))
     rows = rows.select("doc_id", "text", "k", F.explode(F.when(F.col("to_").isNotNull(), both).otherwise(one)).alias("at"))
-    return rows.select("at.bucket", "at.is_next", "k", "doc_id", "text").repartition(n, "bucket").sortWithinPartitions("bucket", "is_next", "k", "text").drop("k")
+    return rows.select("at.bucket", "at.is_next", "k", "doc_id", "text").repartition(n_buckets(spark), "bucket").sortWithinPartitions("bucket", "is_next", "k", "text").drop("k")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -109,8 +157,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     A fingerprint is the root over sections over paragraphs over leaves, in hexadecimal, so equal texts have
     equal ones. The edited text has its last floor(n_chars / 4) code points replaced by the first as many (or
-    all) of the next document by doc_id; the last is followed by the first, a lone one by itself. first_edit
-    names the first section and paragraph whose branches differ. Null text is empty; likeness is the share of
+    all) of the next document by doc_id; the last is followed by the first, a lone one by itself. edits
+    names all sections and paragraphs whose branches differ (``differences``). Null text is empty; likeness is the share of
     characters in common leaves, 1 if both are empty. Rows with equal ids follow each other by text.
     """
 
@@ -140,7 +188,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                             len(own.sections),
                             sum(map(len, own.shape)),
                             len(own.leaves),
-                            first_difference(own, other),
+                            ",".join(differences(own, other)),
                         )
                     )
                 held, done = (None, bucket) if is_next else ((bucket, doc, text, tree), None)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,10 +16,14 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 #: Rounds of loopy message passing, and how much of an old message stays.
 ROUNDS, DAMPING = 8, 0.3
+#: Texts whose field is solved at once.
+TEXTS = 256
 #: Log-potential of two tokens that share a key having one label.
 SKIP = 3.0
 #: Weight that one observed count of a label lacks in the learned potentials.
 SMOOTH = 0.5
+#: Hash values of the words before tokens, and how many tokens of average labels each is given beforehand.
+CUES, CUE_PRIOR = 1024, 20.0
 #: Least marginal of a label at which the field adds a span.
 LEAST = 0.6
 
@@ -30,6 +35,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[@0-9]\S*")
 _NUMBERS = re.compile(r"[0-9(][0-9 ().-]*[0-9]")
 _PIECE = re.compile(r"[^ ]+")
+#: Signs around a token that are not part of it.
+_EDGE = "<>()[]{},;:.!?\"'"
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
 
@@ -38,6 +45,11 @@ def luhn(digits: str) -> bool:
     return (total + sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])) % 10 == 0
 
 
+def _in_byte(part: str) -> bool:
+    bare = part.lstrip("0")
+    return len(bare) <= 3 and int(bare or 0) <= 255
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Leftmost matches; each is found from its ``@``, to the left as far as the last match, in linear time."""
     found, floor, at = [], 0, text.find("@")
@@ -61,7 +73,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             for i in range(0, len(parts) - 3, 4):
                 four = parts[i : i + 4]
                 end = at + sum(map(len, four)) + 3
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in four):
+                if all(_in_byte(p) for p in four):
                     found.append((1, at, end))
                 at = end + 1
     for m in _CARD.finditer(text):
@@ -93,13 +105,13 @@ def keys(token: str) -> list[str]:
         if len(digits) <= 15 and token.count(".") < 3:
             out.append("f" + digits[-7:])
     if "@" in token:
-        whole = token.strip("<>()[]{},;:.!?\"'").lower()
+        whole = token.strip(_EDGE).lower()
         out.append("t" + whole)
         box, _, domain = whole.partition("@")
         if len(box) >= 6:
             out.append("b" + box + "@" + domain.split(".")[0])
     elif token.count(".") >= 3:
-        out.append("i" + token.strip("<>()[]{},;:.!?\"'"))
+        out.append("i" + token.strip(_EDGE))
     return out
 
 
@@ -155,8 +167,29 @@ def tokens(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int,
     return out
 
 
-def shape_counts(docs: DataFrame) -> dict[str, list[float]]:
-    """How often a token of each shape is a base span of each label, over all of ``docs`` (text)."""
+def cue(text: str, start: int) -> str:
+    """The hashed word before a token, one of CUES: what words announce an address or a number is learned, not listed."""
+    before = text[max(0, start - 40) : start].split()
+    return f"cue{zlib.crc32(before[-1].lower().strip(_EDGE).encode('utf-8', 'surrogatepass')) % CUES}" if before else "cue"
+
+
+def possible(token: str) -> np.ndarray:
+    """Which labels a token without a base span may have by its own looks: a pattern that refuses it must not come back by a prior.
+
+    An email needs an ``@``, an address of the network four parts up to 255, a card 16 to 19 digits that pass
+    Luhn, a phone seven to 15 digits.
+    """
+    digits, bare = _NOT_DIGIT.sub("", token), token.strip(_EDGE)
+    parts = bare.split(".")
+    ip = len(parts) == 4 and all(p.isascii() and p.isdigit() and _in_byte(p) for p in parts)
+    return np.array([True, "@" in bare.strip("@"), ip, 16 <= len(digits) <= 19 and luhn(digits), 7 <= len(digits) <= 15 and "@" not in bare])
+
+
+def feature_counts(docs: DataFrame) -> dict[str, list[float]]:
+    """How often a token of each shape, and after each cue, is a base span of each label, over all of ``docs`` (text).
+
+    There are a few hundred shapes at most and CUES cues, so the table is small whatever the corpus.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[str, int], int] = {}
@@ -164,22 +197,30 @@ def shape_counts(docs: DataFrame) -> dict[str, list[float]]:
             for text in batch.column("text").to_pylist():
                 if text:
                     for s, e, k in tokens(text, base_spans(text)):
-                        key = shape(text[s:e]), max(k, 0)
-                        total[key] = total.get(key, 0) + 1
+                        for what in (shape(text[s:e]), cue(text, s)):
+                            key = what, max(k, 0)
+                            total[key] = total.get(key, 0) + 1
         yield pa.RecordBatch.from_pydict(
             {"shape": pa.array([k[0] for k in total], pa.string()), "label": pa.array([k[1] for k in total], pa.int32()), "n": pa.array(list(total.values()), pa.int64())}
         )
 
     rows = docs.select("text").mapInArrow(count, "shape string, label int, n long").groupBy("shape", "label").agg(F.sum("n").alias("n"))
     out: dict[str, list[float]] = {}
-    for r in rows.collect():  # at most a few dozen shapes
+    for r in rows.collect():
         out.setdefault(r["shape"], [0.0] * len(LABELS))[r["label"]] += r["n"]
     return out
 
 
 def potentials(counts: dict[str, list[float]]) -> dict[str, np.ndarray]:
-    """Log-potentials of the labels by shape, learned piecewise: smoothed shares among tokens of the shape."""
-    return {s: np.log((np.array(n) + SMOOTH) / (sum(n) + SMOOTH * len(LABELS))) for s, n in counts.items()}
+    """Log-potentials of the labels by feature, learned piecewise: smoothed shares by shape, and by cue how much they exceed the shares of all tokens."""
+    whole = sum((np.array(n) for s, n in counts.items() if not s.startswith("cue")), np.zeros(len(LABELS))) + SMOOTH
+    every = np.log(whole / whole.sum())
+
+    def share(n: list[float], weight: np.ndarray) -> np.ndarray:
+        return np.log((np.array(n) + weight) / (sum(n) + weight.sum()))
+
+    even = np.full(len(LABELS), SMOOTH)
+    return {s: share(n, CUE_PRIOR * np.exp(every)) - every if s.startswith("cue") else share(n, even) for s, n in counts.items()}
 
 
 def skip_chain(unary: np.ndarray, chain: np.ndarray, node: np.ndarray, hub: np.ndarray, n_hubs: int, stay: float = 0.5) -> np.ndarray:
@@ -226,8 +267,6 @@ def label_texts(texts: list[str], learned: dict[str, np.ndarray]) -> list[tuple[
         if not text:
             continue
         own = tokens(text, base[d])
-        if not any(k > 0 for _, _, k in own):
-            continue  # no evidence anywhere in the document: the field has nothing to spread
         last = None
         for s, e, k in own:
             i, token = len(unary), text[s:e]
@@ -235,7 +274,8 @@ def label_texts(texts: list[str], learned: dict[str, np.ndarray]) -> list[tuple[
                 u = np.full(len(LABELS), -30.0)
                 u[k] = 0
             else:
-                u = learned.get(shape(token), unknown)
+                u = learned.get(shape(token), unknown) + learned.get(cue(text, s), 0.0)
+                u = np.where(possible(token), u, u - 30.0)
             unary.append(u)
             ends.append((s, e, k))
             owner.append(d)
@@ -269,15 +309,16 @@ def find(docs: DataFrame, learned: dict[str, np.ndarray] | None = None) -> DataF
 
     The patterns' spans always stay and are what the counts and the digest hold. The field is over tokens with
     a digit or an ``@``; all others are ``other`` for sure. Its potentials come from ``learned``, or are learned
-    from all of ``docs``: shares of labels by shape. Tokens in a document that share a key (digits, the last ten
+    from all of ``docs``: shares of labels by shape and by the word before. What a pattern refuses (a card that
+    fails Luhn, a part over 255) no potential brings back. Tokens in a document that share a key (digits, the last ten
     or seven digits, address, mailbox name) pull each other to one label, so a bare repeat of a number or address that is
     certain elsewhere is added to spans. Offsets are code points. Null text is empty; a row in, a row out;
     repeated rows repeat. Added spans cannot touch base ones.
     """
-    model = potentials(shape_counts(docs)) if learned is None else learned
+    model = potentials(feature_counts(docs)) if learned is None else learned
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (big.slice(i, TEXTS) for big in batches for i in range(0, big.num_rows, TEXTS)):
             out = label_texts(batch.column("text").to_pylist(), model)
             counts = [[sum(1 for x in base if x[0] == k) for base, _ in out] for k in range(len(KINDS))]
             cols = {"doc_id": batch.column("doc_id")}

@@ -11,15 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, unwrapped, wrapped
-from .components import likely_in, linked_components
+from .components import likely_in, linked_components, merged, with_least
 from .words import mixed, word_codes
 
 #: Registers of a sketch, their base, and the rate of the exponentials.
 M, BASE, RATE = 256, 1.001, 20.0
 #: Registers in a band; at a similarity of 0.85 a pair shares no band with a probability below 1e-8.
 BAND = 6
-#: Sets of a family that are compared at once, and shingles they are compared by at once.
-BLOCK, COLUMNS = 512, 4096
+#: Sets and shingles of a block of a family on average, and shingles that blocks are compared by at once.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 128, 1 << 18, 4096
 #: How far below the threshold an estimate may lie before a pair is dropped unverified, in standard errors.
 SIGMAS = 5.0
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -147,16 +147,16 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _bands(reps: DataFrame) -> DataFrame:
-    """(key, id): a row for each band of each of ``reps`` (id, registers)."""
+    """(key, id, load): a row for each band of each of ``reps`` (id, n_shingles, registers); load is the number of shingles."""
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 keys = band_keys(np.stack([np.frombuffer(r, dtype=np.uint16) for r in batch.column("registers").to_pylist()]))
-                ids = np.repeat(batch.column("id").to_numpy(), keys.shape[1])
-                yield pa.RecordBatch.from_pydict({"key": pa.array(keys.ravel().view(np.int64)), "id": pa.array(ids)})
+                ids, loads = (np.repeat(batch.column(c).to_numpy(), keys.shape[1]) for c in ("id", "n_shingles"))
+                yield pa.RecordBatch.from_pydict({"key": pa.array(keys.ravel().view(np.int64)), "id": pa.array(ids), "load": pa.array(loads)})
 
-    return reps.select("id", "registers").mapInArrow(band, "key long, id long")
+    return reps.select("id", "n_shingles", "registers").mapInArrow(band, "key long, id long, load long")
 
 
 def _likely(pairs: DataFrame, percent: int) -> DataFrame:
@@ -215,32 +215,36 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     Two documents are linked if 100 * |A and B| >= percent * |A or B| over their sets of distinct word
     shingles; words are cut at ASCII blanks, A-Z lower-cased. component_id is the smallest doc_id reachable.
-    Documents with equal sets are one class, represented by its smallest doc_id, and only representatives are
-    sketched, banded and compared, so copies cost no pairs. Candidates share a band of registers; pairs whose
-    estimate is far below the threshold go, all others are verified on their full sets; see
-    ``linked_components`` for which pairs are asked for. Null and blank texts
+    Documents with equal sets are one class, and only one set a class is sketched, banded and compared, so
+    copies cost no pairs. Candidates share a band of registers; pairs whose
+    estimate is far below the threshold go, all others are verified on their full sets (of 64-bit hashes of the
+    shingles); see ``linked_components`` for which pairs are asked for. Null and blank texts
     have no shingles and are linked with nothing. Rows with a null doc_id are left out of comparison and keep
-    a null component_id. Rows that repeat an id share its component.
+    a null component_id. Rows that repeat an id share its component, also if their texts differ: then the id
+    links the classes of all its texts.
     """
     signed = stored(_signatures(docs, words))
     own = signed.where("set_key is not null and doc_id is not null")
-    classes = stored(own.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("n_in_class")))
-    named = classes.select(F.col("set_key").alias("k"), "id")
-    reps = own.join(named, (own.set_key == named.k) & (own.doc_id == named.id)).select("id", "n_shingles", "registers")
-    reps = stored(reps.dropDuplicates(["id", "n_shingles"]))
+    classes = own.groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_in_class"), F.first("n_shingles").alias("n_shingles"))
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()))
+    named = classes.select(F.col("set_key").alias("k"), "id", "first_id")
+    reps = own.join(named, (own.set_key == named.k) & (own.doc_id == named.first_id)).select("id", "n_shingles", "registers")
+    reps = stored(reps.dropDuplicates(["id"]))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sets = shingle_sets(batch.column("text").to_pylist(), words)
-                keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                yield pa.RecordBatch.from_pydict({"id": batch.column("doc_id"), "key": pa.array(keys, pa.binary()), "set": pa.array([s.tobytes() for s in sets], pa.binary())})
-
-        ids = ids.select(F.col("id").alias("k"))
-        found = likely_in(texts, "doc_id", ids).join(ids, F.col("doc_id") == F.col("k")).select("doc_id", "text").mapInArrow(pack, "id long, key binary, set binary")
-        found = found.join(named.select("k", F.col("id").alias("rid")), (found.key == F.col("k")) & (found.id == F.col("rid")), "left_semi")
-        return stored(found.dropDuplicates(["id"]).select("id", "set"))
+            for big in batches:
+                for i in range(0, big.num_rows, 128):
+                    batch = big.slice(i, 128)
+                    sets = shingle_sets(batch.column("text").to_pylist(), words)
+                    same = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() == k for s, k in zip(sets, batch.column("k").to_pylist(), strict=True)], pa.bool_())
+                    yield pa.RecordBatch.from_pydict({"id": batch.column("id").filter(same), "set": pa.array([s.tobytes() for s in sets], pa.binary()).filter(same)})
+
+        asked = stored(named.join(ids.select(F.col("id").alias("i")), F.col("id") == F.col("i")).select("id", "k", "first_id"))
+        found = likely_in(texts, "doc_id", asked.select(F.col("first_id").alias("k"))).join(asked, F.col("doc_id") == F.col("first_id"))
+        found = stored(found.select("id", "k", "text").mapInArrow(pack, "id long, set binary"))
+        return found.dropDuplicates(["id"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,7 +276,8 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
         def settle(rest: DataFrame) -> DataFrame:
             """Families are cut into blocks; each two blocks of a family meet in a task, with their full sets."""
-            n = rest.groupBy(F.col("family").alias("f")).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+            sized = rest.join(classes.select(F.col("id").alias("sid"), "n_shingles"), F.col("id") == F.col("sid"))
+            n = stored(sized.groupBy(F.col("family").alias("f")).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks")))
             d = rest.join(n, F.col("family") == F.col("f")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
             d = d.select("family", "id", "component", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("with"))
             d = d.join(x, F.col("id") == F.col("xa")).select("family", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "id", "component", "block", F.col("sa").alias("set"))
@@ -284,10 +289,19 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         """Sizes alone can rule a pair out: the intersection is at most the smaller set."""
         return F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
 
-    found = linked_components(_bands(reps), reps.select("id", F.col("n_shingles").alias("load")), near, prepare).select(F.col("id").alias("cid"), "component")
-    of_class = classes.join(found, classes.id == found.cid, "left").select("set_key", F.coalesce("component", "id").alias("component"), "n_in_class")
-    out = signed.join(of_class.withColumnRenamed("set_key", "k"), signed.set_key == F.col("k"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    found = linked_components(_bands(reps), near, prepare)
+    of_id = own.join(classes.select(F.col("set_key").alias("k"), "id", "n_in_class"), own.set_key == F.col("k")).select("doc_id", "id", "n_in_class")
+    of_id = stored(of_id)
+    # an id with several texts links their classes
+    several = stored(of_id.groupBy(F.col("doc_id").alias("d")).agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("d", "a"))
+    if not several.isEmpty():
+        found = stored(merged(found, stored(of_id.join(several, F.col("doc_id") == F.col("d")).where("a < id").select("a", F.col("id").alias("b")).distinct())))
+    in_class = classes.join(found.select(F.col("id").alias("cid"), "component"), classes.id == F.col("cid"), "left").select(F.col("id").alias("c"), "first_id", F.coalesce("component", "id").alias("component"))
+    in_class = stored(in_class)
+    least = with_least(in_class.select("component", "first_id", "c"), "component", "first_id").select("c", "m")
+    by_id = of_id.join(stored(least), F.col("id") == F.col("c")).groupBy(F.col("doc_id").alias("d")).agg(F.min("m").alias("m"), F.max("n_in_class").alias("n_in_class"))
+    out = signed.join(by_id, signed.doc_id == F.col("d"), "left")
+    component = F.coalesce("m", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"), F.coalesce("n_in_class", F.lit(1)).alias("n_in_class"))
 
 
