@@ -52,11 +52,11 @@ def sensor_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def garages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").cast("string").alias("bbl"), (F.col("o_custkey") % 4).cast("short").alias("borough_code"))
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("bbl"), (F.col("o_custkey") % 4).cast("short").alias("borough_code"))
 
 
 def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").cast("string").alias("bbl"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("bbl"))
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,8 +79,8 @@ _TRAFFIC = """traffic as (select l_partkey as link_id, l_quantity as speed_mph,
  p_name as link_name, l_orderkey, l_linenumber
  from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey join part on l_partkey = p_partkey)"""
 _EVENTS = "sensor as (select user_id as link_id, value as speed_mph, cast(epoch_us(ts) // 1000000 as bigint) as timestamp_epoch_seconds, event_type as borough, event_id from events)"
-_GARAGES = "garages as (select cast(o_custkey as varchar) as bbl, cast(o_custkey % 4 as smallint) as borough_code from orders where o_orderstatus = 'F')"
-_BUILDINGS = "buildings as (select cast(c_custkey as varchar) as bbl from customer where c_mktsegment = 'BUILDING')"
+_GARAGES = "garages as (select cast(o_custkey as varchar) as bbl, cast(o_custkey % 4 as smallint) as borough_code from orders)"
+_BUILDINGS = "buildings as (select cast(c_custkey as varchar) as bbl from customer)"
 _RUNS = """runs as (select l_returnflag as subset_label, l_linestatus as mode, l_linenumber as thread_count, l_orderkey as run_number, l_extendedprice as query_ms,
  l_quantity as total_ms, cast(1000 as bigint) as rows_accepted, l_suppkey as result_count, strftime(l_shipdate, '%Y%m') as batch_utc from lineitem)"""
 _MEANS = "count(*) as record_count, coalesce(round(avg(speed_mph), 6), 0.0::double) as average_speed_mph, coalesce(round(avg(travel_time_seconds), 6), 0.0::double) as average_travel_time_seconds"
@@ -380,7 +380,7 @@ _on_traffic(
 )
 
 
-# sources: events written as raw text and read back
+# sources: events as the text columns of raw files
 def _raw_traffic(s: SparkSession, d: str) -> DataFrame:
     """Events as the text columns of a raw traffic file, some of them spoiled."""
     i = F.col("event_id")
@@ -406,3 +406,89 @@ _add("ingest_rejects", "select reject_reason, count(*) as record_count from (sel
 _add("ingest_accepted", "select user_id as link_id, count(*) as record_count from events where event_id % 11 <> 0 and event_id % 17 <> 0 and event_id % 13 <> 0 group by 1")(
     lambda s, d: A.count_by_link(IO.accepted(IO.judged_traffic(_raw_traffic(s, d))))
 )
+
+
+# sources: tables written as CSV files to the shared folder and read back
+def _csv_traffic(s: SparkSession, d: str) -> DataFrame:
+    """The raw traffic in files of two kinds, with other names and another order of columns."""
+    path, raw = IO.scratch(s, "traffic"), _raw_traffic(s, d)
+    one, other = raw.where("cast(link_id as bigint) % 2 = 0"), raw.where("cast(link_id as bigint) % 2 = 1")
+    IO.write_metrics(one, path)
+    names = {"speed": "SPEED", "link_id": "Link ID", "data_as_of": "Datetime", "travel_time": "Travel Time", "link_name": "link name", "borough": "Borough"}
+    IO.write_metrics(other.select(*[F.col(c).alias(n) for c, n in names.items()]), path, append=True)
+    return IO.read_traffic(s, path)
+
+
+_CSV_OK = "from events where event_id % 11 <> 0 and event_id % 17 <> 0 and event_id % 13 <> 0 and value >= 0"
+_ROWS = f"select user_id as link_id, value as speed_mph, 60.0::double as travel_time_seconds, cast(epoch_us(ts) // 1000000 as bigint) as timestamp_epoch_seconds, event_type as borough, cast(-1 as smallint) as borough_code, 'a, b' as link_name {_CSV_OK}"
+_add("csv_traffic", _ROWS)(lambda s, d: IO.accepted(_csv_traffic(s, d)))
+
+
+@_add("csv_expected_count", _ROWS)
+def _csv_expected(s: SparkSession, d: str) -> DataFrame:
+    n = table(s, d, "events").where("event_id % 11 <> 0 and event_id % 17 <> 0 and event_id % 13 <> 0 and value >= 0").count()
+    return IO.expect_accepted(_csv_traffic(s, d), n)
+
+
+@_add(
+    "csv_garages",
+    "select cast(k as varchar) as license_number, case when k % 6 = 0 then 0 else cast(epoch_us(o_orderdate) // 1000000 as bigint) end as license_expiration_epoch_seconds, case when k % 9 = 0 then '' else 'Garage ' || k end as business_name,"
+    " cast(o_custkey as varchar) as bbl, case o_custkey % 3 when 0 then 'Queens' when 1 then 'BK' else 'elsewhere' end as borough, cast(case o_custkey % 3 when 0 then 4 when 1 then 3 else -1 end as smallint) as borough_code,"
+    " k % 5 <> 0 as has_location, case when k % 5 <> 0 then 40.5::double end as latitude from (select *, o_orderkey as k from orders) where k % 7 <> 0 or k % 6 = 0",
+)
+def _csv_garages(s: SparkSession, d: str) -> DataFrame:
+    """Orders as garages: every seventh has an unreadable date, every sixth none, every fifth an unreadable place."""
+    k, path = F.col("o_orderkey"), IO.scratch(s, "garages")
+    day = F.when(k % 6 == 0, None).when(k % 7 == 0, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))
+    raw = table(s, d, "orders").select(
+        k.cast("string").alias("license_number"),
+        day.alias("expiration_date"),
+        F.when(k % 9 != 0, F.concat(F.lit("Garage "), k.cast("string"))).alias("name"),
+        F.col("o_custkey").cast("string").alias("bbl"),
+        F.when(F.col("o_custkey") % 3 == 0, "Queens").when(F.col("o_custkey") % 3 == 1, "BK").otherwise("elsewhere").alias("borough"),
+        F.when(k % 5 == 0, "north").otherwise("40.5").alias("lat"),
+        F.lit("-73.8").alias("lng"),
+    )
+    IO.write_metrics(raw, path)
+    found = IO.accepted(IO.read_garages(s, path))
+    return found.select("license_number", "license_expiration_epoch_seconds", "business_name", "bbl", "borough", "borough_code", "has_location", F.col("location.latitude").alias("latitude"))
+
+
+@_add(
+    "csv_buildings",
+    "select cast(c_custkey as varchar) as bbl, cast(case when c_custkey % 4 = 0 then 0 else c_custkey % 5 end as integer) as subgrade_level, c_acctbal as elevation_feet, 40.25::double as latitude, 0.0::double as longitude"
+    " from customer where c_custkey % 6 <> 0 and (c_custkey % 7 <> 0 or c_custkey % 4 = 0)",
+)
+def _csv_buildings(s: SparkSession, d: str) -> DataFrame:
+    """Customers as buildings: every fourth has no level, every seventh one beyond 32 bits, every sixth an unreadable elevation."""
+    k, path = F.col("c_custkey"), IO.scratch(s, "buildings")
+    raw = table(s, d, "customer").select(
+        k.cast("string").alias("bbl"),
+        F.when(k % 4 == 0, None).when(k % 7 == 0, "3000000000").otherwise((k % 5).cast("string")).alias("subgrade"),
+        F.when(k % 6 == 0, "high").otherwise(F.col("c_acctbal").cast("string")).alias("elevation_ft"),
+        F.lit("40.25").alias("latitude"),
+    )
+    IO.write_metrics(raw, path)
+    return IO.accepted(IO.read_buildings(s, path)).select("bbl", "subgrade_level", "elevation_feet", F.col("location.latitude").alias("latitude"), F.col("location.longitude").alias("longitude"))
+
+
+@_add("columnar_copy", "select borough_code, count(*) as record_count, min(speed_mph) as slowest, max(link_id) as last_link from traffic where borough_code in (1, 3) group by 1")
+def _columnar_copy(s: SparkSession, d: str) -> DataFrame:
+    """Two boroughs of the Parquet copy; the others' folders are not read."""
+    path = IO.scratch(s, "columnar")
+    IO.write_columnar(traffic(s, d), path)
+    kept = s.read.parquet(path).where("borough_code in (1, 3)")
+    return kept.groupBy(F.col("borough_code").cast("short").alias("borough_code")).agg(F.count("*").alias("record_count"), F.min("speed_mph").alias("slowest"), F.max("link_id").alias("last_link"))
+
+
+@_add(
+    "csv_sink",
+    "select l_returnflag as subset_label, l_linestatus as mode, cast(count(*) as varchar) as n, cast(max(l_suppkey) as varchar) as result_count from lineitem, (select unnest([1, 2])) group by 1, 2, l_linenumber having l_linenumber < 3",
+)
+def _csv_sink(s: SparkSession, d: str) -> DataFrame:
+    """A summary of runs appended to one sink batch after batch, and read back as text under its header."""
+    path = IO.scratch(s, "metrics")
+    for threads in (1, 2):
+        part = runs(s, d).where(F.col("thread_count") == threads).groupBy("subset_label", "mode").agg((2 * F.count("*")).alias("n"), F.max("result_count").alias("result_count"))
+        IO.write_metrics(part, path, append=threads > 1)
+    return s.read.option("header", True).csv(path)

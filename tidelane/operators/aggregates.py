@@ -86,4 +86,6 @@ def link_names(traffic: DataFrame) -> DataFrame:
 
 
 def dictionary_encoded(traffic: DataFrame) -> DataFrame:
-    return traffic.join(link_names(traffic), "link_name")
+    """``traffic`` plus link_name_id; a null name has an id of its own, the least."""
+    names = link_names(traffic).withColumnRenamed("link_name", "name_")
+    return traffic.join(names, traffic.link_name.eqNullSafe(names.name_)).drop("name_")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import nearly_equal, per_second, ratio
@@ -33,9 +33,9 @@ def with_throughput(runs: DataFrame) -> DataFrame:
 
 def enriched(rows: DataFrame, probes: DataFrame, keys: list[str], order: str) -> DataFrame:
     """``rows`` with the columns of ``probes`` that has the same keys; of several the last by ``order``."""
-    last = Window.partitionBy(*keys).orderBy(F.desc(order))
-    one = probes.withColumn("rn_", F.row_number().over(last)).where("rn_ = 1").drop("rn_")
-    return rows.join(one, keys, "left")
+    more = [c for c in probes.columns if c not in keys]
+    one = probes.groupBy(*keys).agg(F.max_by(F.struct(*more), F.struct(F.col(order).isNotNull(), order)).alias("last_"))  # combined before rows move
+    return rows.join(one.select(*keys, "last_.*"), keys, "left")
 
 
 def latest_batch(runs: DataFrame, batch: str = "batch_utc") -> DataFrame:
@@ -69,10 +69,10 @@ def stability(runs: DataFrame, keys: list[str], result: str = "result_count", me
     """A row a group: distinct results, range of the metric, share of runs in parity, PASS or FAIL and why."""
     ok = F.lit(1.0) if parity is None else parity.cast("double")
     out = runs.groupBy(*keys).agg(
-        F.count_distinct(result).alias("distinct_results"), F.min(metric).alias("metric_min"), F.max(metric).alias("metric_max"), F.avg(ok).alias("parity_rate")
+        F.count_distinct(result).alias("distinct_results"), F.count_if(F.col(metric).isNull()).alias("nulls_"), F.min(metric).alias("metric_min"), F.max(metric).alias("metric_max"), F.avg(ok).alias("parity_rate")
     )
-    reason = F.when(F.col("distinct_results") != 1, "results differ").when(~nearly_equal(F.col("metric_min"), F.col("metric_max")), "averages differ").when(F.col("parity_rate") < 1, "parity failed")
-    return out.withColumn("reason", F.coalesce(reason, F.lit(""))).withColumn("status", F.when(F.col("reason") == "", "PASS").otherwise("FAIL"))
+    reason = F.when(F.col("distinct_results") != 1, "results differ").when((F.col("nulls_") > 0) | ~nearly_equal(F.col("metric_min"), F.col("metric_max")), "averages differ").when(F.col("parity_rate") < 1, "parity failed")
+    return out.withColumn("reason", F.coalesce(reason, F.lit(""))).withColumn("status", F.when(F.col("reason") == "", "PASS").otherwise("FAIL")).drop("nulls_")
 
 
 def parity(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], tolerance: float = 1e-9) -> DataFrame:
@@ -81,7 +81,7 @@ def parity(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], toler
     y = b.select(*keys, *[F.col(v).alias(f"{v}_b") for v in values], F.lit(1).alias("in_b"))
     same = F.lit(True)
     for v in values:
-        same = same & F.coalesce(nearly_equal(F.col(f"{v}_a").cast("double"), F.col(f"{v}_b").cast("double"), tolerance), F.lit(False))
+        same = same & F.coalesce((F.col(f"{v}_a").isNull() & F.col(f"{v}_b").isNull()) | nearly_equal(F.col(f"{v}_a").cast("double"), F.col(f"{v}_b").cast("double"), tolerance), F.lit(False))
     j = x.join(y, keys, "full_outer")
     return j.where(F.col("in_a").isNull() | F.col("in_b").isNull() | ~same).drop("in_a", "in_b")
 

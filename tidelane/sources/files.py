@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import csv
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,15 +16,44 @@ from ..functions.schemas import BUILDING_ALIASES, GARAGE_ALIASES, TRAFFIC_ALIASE
 BAD_ROW = "_corrupt_record"
 
 
-def raw_csv(spark: SparkSession, path: str) -> DataFrame:
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in ``spark.checkpoint.dir``, the folder that driver and executors share; in local mode one of our own where it is unset."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="tidelane-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def headers(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
+    """The files under ``path`` by their first line. Only the first block of each file is looked at; a row a file comes to the driver."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("i"), "value")
+    found: dict[str, list[str]] = {}
+    for r in lines.where("start = 0").groupBy("file").agg(F.min_by("value", "i").alias("head")).collect():
+        found.setdefault(r["head"], []).append(r["file"])
+    return found
+
+
+def raw_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """All columns as text under their trimmed, lower-cased header names, plus the text of short or long rows.
 
-    Of a name that comes twice the last column counts. Rows are single lines; quotes are doubled inside quotes.
+    Files may differ in columns and their order: each is read by its own header, and a column that a file lacks
+    is null there. Of a name that comes twice the last column counts. Rows are single lines; quotes are doubled
+    inside quotes.
     """
-    first = spark.read.text(path).first()
-    if first is None:
+    found = headers(spark, path)
+    if not found:
         raise ValueError(f"{path} has no header")
-    names = [n.strip().lower().removeprefix("\ufeff") for n in next(csv.reader([first.value]))]
+    parts = [_raw_csv(spark, path if len(found) == 1 else files, head) for head, files in sorted(found.items())]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def _raw_csv(spark: SparkSession, path: str | list[str], head: str) -> DataFrame:
+    names = [n.strip().lower().removeprefix("\ufeff") for n in next(csv.reader([head]))]
     last = {n: i for i, n in enumerate(names)}
     schema = T.StructType([T.StructField(n if last[n] == i else f"_{i}_{n}", T.StringType()) for i, n in enumerate(names)] + [T.StructField(BAD_ROW, T.StringType())])
     options = {"header": True, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_ROW, "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True, "enforceSchema": True}
@@ -30,13 +61,13 @@ def raw_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolved(raw: DataFrame, aliases: dict[str, tuple[str, ...]], required: tuple[str, ...] = ()) -> DataFrame:
-    """The columns of ``aliases`` by the first name that ``raw`` has; absent ones are null, absent required ones an error."""
+    """The columns of ``aliases`` by the names that ``raw`` has, the first that is not null; absent ones are null, absent required ones an error."""
     out = []
     for name, options in aliases.items():
-        found = next((a for a in options if a in raw.columns), None)
-        if found is None and name in required:
+        found = [F.col(f"`{a}`") for a in options if a in raw.columns]
+        if not found and name in required:
             raise ValueError(f"required column {name} is missing; looked for {', '.join(options)}")
-        out.append((F.col(f"`{found}`") if found else F.lit(None).cast("string")).alias(name))
+        out.append((F.coalesce(*found) if found else F.lit(None).cast("string")).alias(name))
     kept = [BAD_ROW] if BAD_ROW in raw.columns else []
     return raw.select(*out, *kept)
 
