@@ -703,6 +703,29 @@ def test_large_buckets_lose_no_link(spark):
     assert {r.id: r.component for r in got} == {x: a for a, b in links for x in (a, b)}
 
 
+def test_finer_keys_of_large_buckets_lose_no_link(spark):
+    """Ids of one bucket that share half of their parts, and only these, still meet; a key of few ids stays as it is."""
+    rng = np.random.default_rng(5)
+    parts = {}
+    for i in range(150):
+        own = [int(x) for x in rng.integers(100, 400, 6)]
+        parts[i] = {1, 2, *own}
+        parts[i + 150] = {1, 2, *own[: len({*own}) // 2 + 1], *(int(x) for x in rng.integers(400, 700, 3))}
+    table = spark.createDataFrame([(i, sorted(x)) for i, x in parts.items()], "id long, parts array<long>")
+    rows = [(7, i, i, i) for i in parts] + [(8, 0, 0, 0), (8, 9, 9, 9)]
+    rest = spark.createDataFrame(rows, "key long, id long, load long, component long")
+    finer = components.finer(rest, lambda ids: table.join(ids, "id"))
+    assert finer.where("key = 8").count() == 2 and finer.groupBy("id").count().where("count > 9").isEmpty()
+    got = {(r.a, r.b) for r in components.pairs_in_blocks(finer, lambda x, y: F.lit(True)).collect()}
+    half = {(a, b) for a in parts for b in parts if a < b and 2 * len(parts[a] & parts[b]) >= min(len(parts[a]), len(parts[b]))}
+    assert len(half) > 100 and half <= got and len(got) < 0.25 * 300 * 299 / 2
+    links = spark.createDataFrame(sorted(half), "la long, lb long")
+    verify = lambda p: p.join(links, (p.a == links.la) & (p.b == links.lb)).select("a", "b")
+    members = rest.where("key = 7").select("key", "id", "load")
+    whole = components.linked_components(members, lambda x, y: F.lit(True), lambda ids: (verify, None), parts=lambda ids: table.join(ids, "id")).collect()
+    assert {r.id: r.component for r in whole} == groups_of({x for p in half for x in p}, half)
+
+
 def test_components_of_any_shape(spark):
     rng = np.random.default_rng(8)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(1000 + i, 1001 + i) for i in range(70)] + [(5000, 4000 + i) for i in range(500)] + [(3, 3)]

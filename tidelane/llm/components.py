@@ -99,8 +99,36 @@ def pairs_in_blocks(rest: DataFrame, near: Callable[[Column, Column], Column]) -
     return met.select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b"))
 
 
+def finer(rest: DataFrame, parts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rest`` (key, id, load, component) with keys of more than BLOCK ids replaced by finer ones.
+
+    ``parts`` takes ids (id) and returns (id, parts), distinct values of which near ids share half of the fewer
+    at least. With s parts of an id and m the fewest in the bucket, two near ids share ceil(m / 2), so they share
+    one of the s - ceil(m / 2) + 1 that are rarest in the bucket; each of these makes a key where another id has
+    it. An id gets no more keys than it has parts, however large the bucket.
+    """
+    n = stored(rest.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("k"))
+    if n.isEmpty():
+        return rest
+    crowded = stored(rest.join(n, F.col("key") == F.col("k")).drop("k"))
+    own = parts(crowded.select("id").distinct()).select(F.col("id").alias("pid"), "parts")
+    held = stored(crowded.select("key", "id").join(own, F.col("id") == F.col("pid")).select("key", "id", "parts"))
+    fewest = held.groupBy(F.col("key").alias("k")).agg(F.ceil(F.min(F.size("parts")) / 2).alias("common"))
+    each = held.select("key", "id", F.explode("parts").alias("part"))
+    often = stored(each.groupBy(F.col("key").alias("ok"), F.col("part").alias("op")).agg(F.count("*").alias("often")))
+    ranked = each.join(often, (F.col("key") == F.col("ok")) & (F.col("part") == F.col("op"))).groupBy("key", "id").agg(F.sort_array(F.collect_list(F.struct("often", "part"))).alias("ranked"))
+    first = ranked.join(stored(fewest), F.col("key") == F.col("k")).select("key", "id", F.explode(F.expr("slice(ranked, 1, greatest(1, cast(size(ranked) - common + 1 as int)))")).alias("p"))
+    keys = first.where("p.often > 1").select(F.col("key").alias("k"), F.col("id").alias("i"), F.xxhash64("key", "p.part").alias("finer"))
+    split = crowded.join(keys, (F.col("key") == F.col("k")) & (F.col("id") == F.col("i"))).select(F.col("finer").alias("key"), "id", "load", "component")
+    return stored(rest.join(n, F.col("key") == F.col("k"), "left_anti").unionByName(split))
+
+
 def linked_components(
-    members: DataFrame, near: Callable[[Column, Column], Column], prepare: Callable[[DataFrame], tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame] | None]], rounds: int = 1
+    members: DataFrame,
+    near: Callable[[Column, Column], Column],
+    prepare: Callable[[DataFrame], tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame] | None]],
+    rounds: int = 1,
+    parts: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """(id, component) over all verified links between ids that share a bucket.
 
@@ -110,7 +138,7 @@ def linked_components(
     connected already need no test. In each round every bucket picks one hub and its members are compared
     with the hub alone. What the hubs leave apart is then compared across the remaining components of a
     bucket, so no link is lost; a bucket that the hubs have joined is through. Without ``rest`` that is done
-    by ``pairs_in_blocks``. ``rest`` takes (id, component, family), where ids that share an unsettled bucket, directly or
+    by ``pairs_in_blocks``, after large buckets are made ``finer`` by ``parts`` where they are given. ``rest`` takes (id, component, family), where ids that share an unsettled bucket, directly or
     through others, are a family, and returns links (a, b) that join whatever components of a family are linked.
     """
     shared = stored(members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(F.col("key").alias("k")))
@@ -133,7 +161,8 @@ def linked_components(
         if r < rounds:
             pairs = apart.where("component <> cy").where(near(F.col("load"), F.col("ly"))).select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b"))
         elif settle is None:
-            pairs = pairs_in_blocks(stored(apart.select("key", "id", "load", "component")), near)
+            left = stored(apart.select("key", "id", "load", "component"))
+            pairs = pairs_in_blocks(left if parts is None else finer(left, parts), near)
         else:
             rest = stored(apart.select("id", "component", "y"))
             families = components(rest.select(F.col("id").alias("a"), F.col("y").alias("b"))).select(F.col("id").alias("fid"), F.col("component").alias("family"))
