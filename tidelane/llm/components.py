@@ -136,8 +136,9 @@ def linked_components(
     rule out a pair; ``prepare`` gets the ids (id) that are left and returns (verify, rest): ``verify`` takes pairs
     (a, b), a < b, and returns those that are linked. Only connectivity is asked for, so pairs that are
     connected already need no test. In each round every bucket picks one hub and its members are compared
-    with the hub alone. What the hubs leave apart is then compared across the remaining components of a
-    bucket, so no link is lost; a bucket that the hubs have joined is through. Without ``rest`` that is done
+    with the hub alone; then the hub, which has met all of its bucket, leaves it. What the hubs leave apart is
+    compared across the remaining components of a bucket, so no link is lost and no pair of a bucket is tested
+    twice; a bucket that the hubs have joined, or with one member left, is through. Without ``rest`` that is done
     by ``pairs_in_blocks``, after large buckets are made ``finer`` by ``parts`` where they are given. ``rest`` takes (id, component, family), where ids that share an unsettled bucket, directly or
     through others, are a family, and returns links (a, b) that join whatever components of a family are linked.
     """
@@ -146,12 +147,14 @@ def linked_components(
     members = stored(members.join(shared, F.col("key") == F.col("k")).select("key", "id", "load"))
     verify, settle = prepare(members.select("id").distinct())
     found = None
+    unmet = members
     for r in range(rounds + 1):
         if found is None:
-            placed = members.withColumn("component", F.col("id"))
+            placed = unmet.withColumn("component", F.col("id"))
         else:
-            f = found.select(F.col("id").alias("fid"), "component")
-            placed = stored(members.join(f, members.id == f.fid, "left").select("key", "id", "load", F.coalesce("component", "id").alias("component")))
+            f = found.select(F.col("id").alias("fid"), F.col("component").alias("fc"))
+            placed = unmet.join(f, F.col("id") == F.col("fid"), "left").select("key", "id", "load", F.coalesce("fc", "id").alias("component"))
+        placed = stored(placed) if r else placed
         spread = placed.groupBy("key").agg(
             F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("o"), "id", "load", "component")).alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi")
         )
@@ -160,6 +163,7 @@ def linked_components(
         apart = placed.join(spread, placed.key == spread.k)
         if r < rounds:
             pairs = apart.where("component <> cy").where(near(F.col("load"), F.col("ly"))).select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b"))
+            unmet = apart.where("id <> y").select("key", "id", "load")
         elif settle is None:
             left = stored(apart.select("key", "id", "load", "component"))
             pairs = pairs_in_blocks(left if parts is None else finer(left, parts), near)
