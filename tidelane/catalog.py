@@ -12,6 +12,7 @@ from .operators import aggregates as A
 from .operators import cross as X
 from .operators import eras as E
 from .operators import filters as P
+from .operators import indexes as I
 from .operators import lookups as L
 from .operators import runs as R
 from .plans import scenarios as S
@@ -39,6 +40,7 @@ def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("r_name").alias("borough"),
         (F.col("r_regionkey") + 1).cast("short").alias("borough_code"),
         F.col("p_name").alias("link_name"),
+        F.col("l_shipdate").cast("timestamp_ntz").alias(P.STORED_TIME),
         "l_orderkey",
         "l_linenumber",
     )
@@ -47,7 +49,7 @@ def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sensor_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as traffic: a user is a link, an event type a borough."""
     return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("link_id"), F.col("value").alias("speed_mph"), C.epoch_of(F.col("ts")).alias("timestamp_epoch_seconds"), F.col("event_type").alias("borough"), "event_id"
+        F.col("user_id").alias("link_id"), F.col("value").alias("speed_mph"), C.epoch_of(F.col("ts")).alias("timestamp_epoch_seconds"), F.col("event_type").alias("borough"), "event_id", F.col("ts").cast("timestamp_ntz").alias(P.STORED_TIME)
     )
 
 
@@ -136,6 +138,17 @@ _on_traffic("summary_by_borough", f"select borough_code, {_MEANS} from traffic g
 _on_traffic("count_speed_below", "select count(*) as record_count from traffic where speed_mph < 15", lambda t: A.count(P.speed_below(t, 15.0)))
 _on_traffic("count_borough_speed_below", "select count(*) as record_count from traffic where borough_code = 4 and speed_mph < 15", lambda t: A.count(P.borough_speed_below(t, "Queens", 15.0)))
 _on_traffic("count_time_window", "select count(*) as record_count from traffic where timestamp_epoch_seconds between 820454400 and 852076800", lambda t: A.count(P.time_window(t, 820454400, 852076800)))
+
+
+@_add("time_window_days", "select count(*) as record_count, round(avg(speed_mph), 6) as average_speed_mph from sensor where timestamp_epoch_seconds between 1704326400 and 1704931199")
+def _time_window_days(s: SparkSession, d: str) -> DataFrame:
+    """A week of the copy with a folder a day; the others' folders are not read."""
+    path = IO.scratch(s, "days")
+    IO.write_by_day(sensor_events(s, d), path)
+    week = P.time_window(s.read.parquet(path), 1704326400, 1704931199)
+    return week.agg(F.count("*").alias("record_count"), F.round(F.avg("speed_mph"), PLACES).alias("average_speed_mph"))
+
+
 _on_traffic("time_bounds", "select min(timestamp_epoch_seconds) as min_epoch, max(timestamp_epoch_seconds) as max_epoch from traffic", A.time_bounds)
 
 # links
@@ -171,8 +184,8 @@ _add(
     "select (select count(distinct link_id) from traffic) as links, (select count(distinct borough_code) from traffic) as boroughs, (select count(distinct timestamp_epoch_seconds // 3600) from sensor) as hours,"
     " (select count(distinct bbl) from garages) as garage_parcels, (select count(distinct bbl) from buildings) as building_parcels",
 )(
-    lambda s, d: A.key_counts(
-        links=(traffic(s, d), "link_id"), boroughs=(traffic(s, d), "borough_code"), hours=(sensor_events(s, d), C.hour_bucket()), garage_parcels=(garages(s, d), "bbl"), building_parcels=(buildings(s, d), "bbl")
+    lambda s, d: (lambda t: A.key_counts(links=(t, "link_id"), boroughs=(t, "borough_code"), hours=(sensor_events(s, d), C.hour_bucket()), garage_parcels=(garages(s, d), "bbl"), building_parcels=(buildings(s, d), "bbl")))(
+        traffic(s, d)
     )
 )
 _on_traffic("lookup_link", "select count(*) as record_count from traffic where link_id = 42", lambda t: L.lookup(A.count_by_link(t), "link_id", 42))
@@ -183,6 +196,26 @@ _add("lookup_bulk", "select bbl, coalesce(n, 0) as record_count from (select dis
     lambda s, d: L.bulk_lookup(buildings(s, d).distinct(), A.count_by_parcel(garages(s, d)), "bbl")
 )
 _on_traffic("lookup_audit", "select count(*) as lookup_hits, count(*) as scan_rows, true as agree from traffic", lambda t: L.audit(t, A.count_by_link(t)))
+_add("kept_lookup_link", "select count(*) as record_count from traffic where link_id = 42")(lambda s, d: I.keep_families(traffic(s, d), families=("link",))["link"].lookup(42))
+_add("kept_lookup_hour", "select count(*) as record_count from sensor where timestamp_epoch_seconds // 3600 = 473400")(lambda s, d: I.keep_families(sensor_events(s, d), families=("hour",))["hour"].lookup(473400))
+_add("kept_lookup_miss", "select count(*) as record_count from garages where bbl = 'none'")(lambda s, d: I.keep_families(garages=garages(s, d), families=("bbl",))["garage_bbl"].lookup("none"))
+_add("kept_lookup_bulk", "select bbl, coalesce(n, 0) as record_count from (select distinct bbl from buildings) left join (select bbl, count(*) as n from garages group by bbl) using (bbl)")(
+    lambda s, d: I.keep_families(garages=garages(s, d), families=("bbl",))["garage_bbl"].lookup_all(buildings(s, d).distinct())
+)
+
+
+@_add("kept_refresh", "select link_id, count(*) as record_count from traffic group by link_id")
+def _kept_refresh(s: SparkSession, d: str) -> DataFrame:
+    """Slow rows are kept first, the others merged in."""
+    t = traffic(s, d)
+    kept = I.KeptCounts.of(A.count_by_link(t.where("speed_mph < 25")), "link_id")
+    kept.refresh(A.count_by_link(t.where("speed_mph >= 25")))
+    return kept.counts()
+
+
+_add("index_family_link", "select link_id, count(*) as record_count from traffic group by link_id")(lambda s, d: I.keep_families(traffic(s, d), families=("link",))["link"].counts())
+_add("index_family_garage_bbl", "select bbl, count(*) as record_count from garages where bbl <> '' group by bbl")(lambda s, d: I.keep_families(garages=garages(s, d), buildings=buildings(s, d), families=("bbl",))["garage_bbl"].counts())
+_add("index_family_building_bbl", "select bbl, count(*) as record_count from buildings where bbl <> '' group by bbl")(lambda s, d: I.keep_families(garages=garages(s, d), buildings=buildings(s, d), families=("bbl",))["building_bbl"].counts())
 _add("index_family_borough", "select borough_code, count(*) as record_count from traffic group by borough_code")(lambda s, d: L.index_families(traffic(s, d), families=("borough",))["borough"])
 
 # across tables
@@ -212,6 +245,12 @@ _on_traffic(
     f" from (select *, {_ERA} as era from traffic) where era is not null group by link_name",
     lambda t: _rounded(E.corridor_by_era(t, _ERAS), *[f"{e[0]}" for e in _ERAS]),
 )
+_on_traffic(
+    "era_overlap",
+    f"select era, {_MEANS} from traffic join (values ('1995-1996', 788918400, 852076800), ('summer 1996', 833587200, 841536000), ('from 1996', 820454400, 1009843200)) as e(era, a, b)"
+    " on timestamp_epoch_seconds >= a and timestamp_epoch_seconds < b group by era",
+    lambda t: E.era_summary(t, (("1995-1996", 788918400, 852076800), ("summer 1996", 833587200, 841536000), ("from 1996", 820454400, 1009843200)), PLACES),
+)
 _on_traffic("era_summary", f"select era, {_MEANS} from (select *, {_ERA} as era from traffic) where era is not null group by era", lambda t: E.era_summary(t, _ERAS, PLACES))
 _on_traffic(
     "era_changes",
@@ -220,7 +259,7 @@ _on_traffic(
 )
 _on_traffic(
     "hotspot_sets",
-    "select link_id, borough, link_name, hour_bucket, count(*) as record_count, round(avg(speed_mph), 6) as average_speed_mph from (select *, timestamp_epoch_seconds // 3600 as hour_bucket from traffic)"
+    "select link_id, borough, link_name, hour_bucket, case when grouping(link_id) = 0 then 'link_id' when grouping(borough) = 0 then 'borough' when grouping(link_name) = 0 then 'link_name' else 'hour_bucket' end as grouped_by, count(*) as record_count, round(avg(speed_mph), 6) as average_speed_mph from (select *, timestamp_epoch_seconds // 3600 as hour_bucket from traffic)"
     " group by grouping sets ((link_id), (borough), (link_name), (hour_bucket))",
     lambda t: _rounded(E.hotspots(t)),
 )
@@ -380,6 +419,23 @@ _on_traffic(
 )
 
 
+
+
+@_add(
+    "scenario_file",
+    f"select 'slow' as scenario_name, {_MEANS} from traffic where speed_mph < 15 union all select 'week', {_MEANS} from traffic where timestamp_epoch_seconds between 820454400 and 821059200 union all select 'all', {_MEANS} from traffic"
+    f" union all select 'queens', {_MEANS} from traffic where borough_code = 4 and speed_mph < 30 union all select 'rows', count(*), null, null from traffic"
+    " union all select 'top', least(7, (select count(*) from (select link_id from traffic group by link_id having count(*) >= 20))), null, null",
+)
+def _scenario_file(s: SparkSession, d: str) -> DataFrame:
+    """A parameter file, written to the shared folder, read and run over all traffic in one pass."""
+    path = IO.scratch(s, "scenarios")
+    rows = [("slow", "speed_below", "15", None, None, None, None, None), ("week", "time_window", None, "821059200", "820454400", None, None, None), ("all", "summary", *[None] * 6),
+            ("queens", "borough_speed_below", "30", None, None, "qn", None, None), ("rows", "ingest_only", *[None] * 6), ("top", "top_n_slowest", None, None, None, None, "7", "20")]
+    IO.write_metrics(s.createDataFrame(rows, "scenario_name string, query_type string, threshold string, start_epoch string, end_epoch string, borough string, top_n string, min_link_samples string"), path)
+    return S.run_scenarios(traffic(s, d), S.read_scenarios(s, path), PLACES)
+
+
 # sources: events as the text columns of raw files
 def _raw_traffic(s: SparkSession, d: str) -> DataFrame:
     """Events as the text columns of a raw traffic file, some of them spoiled."""
@@ -430,18 +486,45 @@ def _csv_expected(s: SparkSession, d: str) -> DataFrame:
     return IO.expect_accepted(_csv_traffic(s, d), n)
 
 
+@_add("ingest_once", "select coalesce(reject_reason, 'accepted') as outcome, count(*) as record_count from (select case when event_id % 11 = 0 then 'malformed' when event_id % 17 = 0 then 'missing_timestamp' when event_id % 13 = 0 or value < 0 then 'malformed' end as reject_reason from events) group by 1")
+def _ingest_once(s: SparkSession, d: str) -> DataFrame:
+    """Accepted and rejected rows of the files, parted in one pass."""
+    ok, bad, _ = IO.ingest(_csv_traffic(s, d), IO.scratch(s, "ingest"))
+    return A.count_by(ok.select(F.lit("accepted").alias("reject_reason")).unionAll(bad.select("reject_reason")), "reject_reason", "outcome")
+
+
+@_add("file_prefix", "select cast(n as integer) as subset_rows, rn as row_number, event_id from (select event_id, row_number() over (order by event_id) as rn from events) join (select unnest([10, 100, 3000]) as n) on rn <= n")
+def _file_prefix(s: SparkSession, d: str) -> DataFrame:
+    """The first rows of files in their own order; events are written in five files by their number."""
+    path = IO.scratch(s, "ordered")
+    IO.write_metrics(table(s, d, "events").select("event_id", "event_type").repartitionByRange(5, "event_id").sortWithinPartitions("event_id"), path)
+    return IO.file_prefixes(s, path, [10, 100, 3000]).select("subset_rows", F.col("row_number").cast("bigint").alias("row_number"), F.col("event_id").cast("bigint").alias("event_id"))
+
+
+@_add(
+    "csv_two_times",
+    "select event_id as link_id, case when event_id % 2 = 0 then cast(epoch_us(ts) // 1000000 as bigint) end as timestamp_epoch_seconds, case when event_id % 2 = 1 then 'missing_timestamp' end as reject_reason from events",
+)
+def _csv_two_times(s: SparkSession, d: str) -> DataFrame:
+    """A file with two names of the time: the first counts, also where it is blank and the second is not."""
+    path, i = IO.scratch(s, "traffic"), F.col("event_id")
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    IO.write_metrics(table(s, d, "events").select(stamp.alias("timestamp"), i.alias("link_id"), F.lit("5").alias("speed"), F.lit("6").alias("travel_time"), F.when(i % 2 == 0, stamp).alias("data_as_of")), path)
+    return IO.read_traffic(s, path).select("link_id", "timestamp_epoch_seconds", "reject_reason")
+
+
 @_add(
     "csv_garages",
-    "select cast(k as varchar) as license_number, case when k % 6 = 0 then 0 else cast(epoch_us(o_orderdate) // 1000000 as bigint) end as license_expiration_epoch_seconds, case when k % 9 = 0 then '' else 'Garage ' || k end as business_name,"
+    "select case when k % 4 = 0 then '' else cast(k as varchar) end as license_number, case when k % 6 = 0 then 0 else cast(epoch_us(o_orderdate) // 1000000 as bigint) end as license_expiration_epoch_seconds, case when k % 9 = 0 then '' else 'Garage ' || k end as business_name,"
     " cast(o_custkey as varchar) as bbl, case o_custkey % 3 when 0 then 'Queens' when 1 then 'BK' else 'elsewhere' end as borough, cast(case o_custkey % 3 when 0 then 4 when 1 then 3 else -1 end as smallint) as borough_code,"
-    " k % 5 <> 0 as has_location, case when k % 5 <> 0 then 40.5::double end as latitude from (select *, o_orderkey as k from orders) where k % 7 <> 0 or k % 6 = 0",
+    " k % 5 <> 0 as has_location, case when k % 5 <> 0 then 40.5::double end as latitude from (select *, o_orderkey as k from orders) where (k % 7 <> 0 or k % 6 = 0) and (k % 4 <> 0 or k % 9 <> 0)",
 )
 def _csv_garages(s: SparkSession, d: str) -> DataFrame:
-    """Orders as garages: every seventh has an unreadable date, every sixth none, every fifth an unreadable place."""
+    """Orders as garages: every seventh has an unreadable date, every sixth none, every fifth an unreadable place, every fourth no licence, every ninth no name."""
     k, path = F.col("o_orderkey"), IO.scratch(s, "garages")
     day = F.when(k % 6 == 0, None).when(k % 7 == 0, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))
     raw = table(s, d, "orders").select(
-        k.cast("string").alias("license_number"),
+        F.when(k % 4 != 0, k.cast("string")).alias("license_number"),
         day.alias("expiration_date"),
         F.when(k % 9 != 0, F.concat(F.lit("Garage "), k.cast("string"))).alias("name"),
         F.col("o_custkey").cast("string").alias("bbl"),
@@ -457,16 +540,16 @@ def _csv_garages(s: SparkSession, d: str) -> DataFrame:
 @_add(
     "csv_buildings",
     "select cast(c_custkey as varchar) as bbl, cast(case when c_custkey % 4 = 0 then 0 else c_custkey % 5 end as integer) as subgrade_level, c_acctbal as elevation_feet, 40.25::double as latitude, 0.0::double as longitude"
-    " from customer where c_custkey % 6 <> 0 and (c_custkey % 7 <> 0 or c_custkey % 4 = 0)",
+    " from customer where c_custkey % 6 <> 0 and c_custkey % 11 <> 0 and (c_custkey % 7 <> 0 or c_custkey % 4 = 0)",
 )
 def _csv_buildings(s: SparkSession, d: str) -> DataFrame:
-    """Customers as buildings: every fourth has no level, every seventh one beyond 32 bits, every sixth an unreadable elevation."""
+    """Customers as buildings: every fourth has no level, every seventh one beyond 32 bits, every sixth an unreadable elevation, every eleventh an unreadable place."""
     k, path = F.col("c_custkey"), IO.scratch(s, "buildings")
     raw = table(s, d, "customer").select(
         k.cast("string").alias("bbl"),
         F.when(k % 4 == 0, None).when(k % 7 == 0, "3000000000").otherwise((k % 5).cast("string")).alias("subgrade"),
         F.when(k % 6 == 0, "high").otherwise(F.col("c_acctbal").cast("string")).alias("elevation_ft"),
-        F.lit("40.25").alias("latitude"),
+        F.when(k % 11 == 0, "north").otherwise("40.25").alias("latitude"),
     )
     IO.write_metrics(raw, path)
     return IO.accepted(IO.read_buildings(s, path)).select("bbl", "subgrade_level", "elevation_feet", F.col("location.latitude").alias("latitude"), F.col("location.longitude").alias("longitude"))
@@ -483,12 +566,12 @@ def _columnar_copy(s: SparkSession, d: str) -> DataFrame:
 
 @_add(
     "csv_sink",
-    "select l_returnflag as subset_label, l_linestatus as mode, cast(count(*) as varchar) as n, cast(max(l_suppkey) as varchar) as result_count from lineitem, (select unnest([1, 2])) group by 1, 2, l_linenumber having l_linenumber < 3",
+    "select l_returnflag as subset_label, l_linestatus as mode, cast(count(*) as varchar) as n, cast(max(l_suppkey) as varchar) as result_count from lineitem, (select unnest([1, 2])) group by 1, 2, l_linenumber",
 )
 def _csv_sink(s: SparkSession, d: str) -> DataFrame:
-    """A summary of runs appended to one sink batch after batch, and read back as text under its header."""
+    """A summary of runs appended to one sink, a batch a line number (1 to 7), and read back as text under its header."""
     path = IO.scratch(s, "metrics")
-    for threads in (1, 2):
+    for threads in range(1, 8):
         part = runs(s, d).where(F.col("thread_count") == threads).groupBy("subset_label", "mode").agg((2 * F.count("*")).alias("n"), F.max("result_count").alias("result_count"))
         IO.write_metrics(part, path, append=threads > 1)
     return s.read.option("header", True).csv(path)

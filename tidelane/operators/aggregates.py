@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import hour_bucket
+from .running import numbered
 
 
 def mean(c: str, places: int | None = None) -> Column:
@@ -67,13 +70,21 @@ def top_slowest_by(traffic: DataFrame, group: str, n: int, min_samples: int = 1)
 
 
 def key_counts(**keys: tuple[DataFrame, str | Column]) -> DataFrame:
-    """One row: how many distinct values each key has; empty text is none."""
-    out = None
+    """One row: how many distinct values each key has; empty text is none.
+
+    Keys of one DataFrame are counted in one pass over it, as distinct (name, value).
+    """
+    tables: list[tuple[DataFrame, list[Column]]] = []
     for name, (df, key) in keys.items():
-        c = F.col(key) if isinstance(key, str) else key
-        one = df.select(c.alias("k")).where(F.col("k").cast("string") != "").agg(F.count_distinct("k").alias(name))
-        out = one if out is None else out.crossJoin(one)  # one row each
-    return out
+        c = F.struct(F.lit(name).alias("name"), (F.col(key) if isinstance(key, str) else key).cast("string").alias("value"))
+        own = next((cs for d, cs in tables if d is df), None)
+        if own is None:
+            tables.append((df, [c]))
+        else:
+            own.append(c)
+    each = [df.select(F.explode(F.array(*cs)).alias("k")).select("k.name", "k.value").where("value <> ''").distinct() for df, cs in tables]
+    counts = reduce(DataFrame.unionAll, each).groupBy("name").agg(F.count("*").alias("n"))
+    return counts.agg(*[F.coalesce(F.max(F.when(F.col("name") == name, F.col("n"))), F.lit(0)).alias(name) for name in keys])
 
 
 def time_bounds(traffic: DataFrame) -> DataFrame:
@@ -81,8 +92,8 @@ def time_bounds(traffic: DataFrame) -> DataFrame:
 
 
 def link_names(traffic: DataFrame) -> DataFrame:
-    """(link_name, link_name_id): dense ids by name, from 0. The names, not the rows, meet in one task."""
-    return traffic.select("link_name").distinct().withColumn("link_name_id", F.dense_rank().over(Window.orderBy("link_name")) - 1)
+    """(link_name, link_name_id): dense ids by name, from 0; a null name has the least."""
+    return numbered(traffic, "link_name", "link_name_id").withColumn("link_name_id", F.col("link_name_id").cast("int"))
 
 
 def dictionary_encoded(traffic: DataFrame) -> DataFrame:

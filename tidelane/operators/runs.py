@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import nearly_equal, per_second, ratio
+from .running import medians
 
 
 def grouped_stats(runs: DataFrame, keys: list[str], metrics: list[str], population: bool = False, places: int | None = None) -> DataFrame:
-    """n and, for each metric, mean, median, min, max and standard deviation (0 for one run) a group."""
+    """n and, for each metric, mean, median, min, max and standard deviation (0 for one run) a group.
+
+    Medians are exact, by selection: no task holds a group's values.
+    """
 
     def show(c: Column) -> Column:
         return c if places is None else F.round(c, places)
@@ -17,8 +23,11 @@ def grouped_stats(runs: DataFrame, keys: list[str], metrics: list[str], populati
     out = [F.count("*").alias("n")]
     for m in metrics:
         dev = F.stddev_pop(m) if population else F.coalesce(F.stddev_samp(m), F.lit(0.0))
-        out += [show(F.avg(m)).alias(f"{m}_mean"), show(F.percentile(m, 0.5)).alias(f"{m}_median"), F.min(m).alias(f"{m}_min"), F.max(m).alias(f"{m}_max"), show(dev).alias(f"{m}_stddev")]
-    return runs.groupBy(*keys).agg(*out)
+        out += [show(F.avg(m)).alias(f"{m}_mean"), F.min(m).alias(f"{m}_min"), F.max(m).alias(f"{m}_max"), show(dev).alias(f"{m}_stddev")]
+    stats = runs.groupBy(*keys).agg(*out)
+    middle = medians(runs, keys, metrics).select(*[F.col(k).alias(f"{k}_m") for k in keys], *[show(F.col(m)).alias(f"{m}_median") for m in metrics])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_m")) for k in keys], F.lit(True))
+    return stats.join(middle, same, "left").select(*keys, "n", *[f"{m}_{x}" for m in metrics for x in ("mean", "median", "min", "max", "stddev")])
 
 
 def ratio_to_baseline(stats: DataFrame, on: list[str], metric: str, baseline: Column) -> DataFrame:
