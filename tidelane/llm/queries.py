@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, clustering, katz, langid, linededup, media, merkle, mixing, packing, pii, repair, setsketch, toxicity
-from .common import documents
+from .common import documents, stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": _on_documents(packing.pack),
     "op4_chat": lambda spark, sf_dir: chat.parse_conversations(_table(spark, sf_dir, "conversations")),
     "op5_mixing": _on_documents(mixing.mix),
-    "op6_media": lambda spark, sf_dir: media.features(media.to_media(documents(spark, sf_dir))),
+    "op6_media": lambda spark, sf_dir: media.features(stored(media.to_media(documents(spark, sf_dir)), compression="zstd")),
     "op7_langid": _on_documents(langid.predictions),
     "op8_merkle": _on_documents(merkle.fingerprints),
     "op9_linededup": _on_documents(linededup.near_groups),
