@@ -116,7 +116,7 @@ def test_agenda_finalises_the_lightest_first(spark):
     items = [(repair.EMPTY, repair.USER, 0, "K"), (repair.EMPTY, repair.USER, 0, "D")], [(repair.USER, repair.ASSISTANT, 1, "R"), (repair.USER, repair.ASSISTANT, 1, "IK")]
     assert repair.chain([list(x) for x in items]) == (1, "DIK", [(repair.EMPTY, "D"), (repair.USER, "IK")])
     assert repair.chain([]) == (0, "", [])
-    assert (repair.EMPTY, repair.EMPTY, 4, "DD") in repair.block_items("uu", "b-", [1, 1])
+    assert (repair.EMPTY, repair.EMPTY, 4, "DD") in repair.block_items("uu", "b-", (1, 1))
 
 
 def test_repaired_turns(spark):

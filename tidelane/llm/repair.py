@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from collections.abc import Callable, Hashable, Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator, Sequence
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -108,8 +109,9 @@ def edits(state: int, kind: str, fault: str, n: int) -> Iterator[tuple[int, int,
     yield after, cost + REROLE, "R" + rest
 
 
-def block_items(kinds: str, faults: str, copies: list[int]) -> list[tuple[int, int, int, str]]:
-    """(state before, state after, cost, audit): the lightest way through a block's rows between each two states."""
+@lru_cache(maxsize=1 << 14)
+def block_items(kinds: str, faults: str, copies: tuple[int, ...]) -> tuple[tuple[int, int, int, str], ...]:
+    """(state before, state after, cost, audit): the lightest way through a block's rows between each two states. Short conversations repeat, so a task keeps what it has found."""
     m = len(kinds)
 
     def deductions(item: tuple[int, int, int], key: Key) -> Iterator[tuple[Key, Hashable]]:
@@ -124,10 +126,10 @@ def block_items(kinds: str, faults: str, copies: list[int]) -> list[tuple[int, i
         ends = range(min(before, USER), ASSISTANT + 1)
         final = lightest([((0, 0, ""), (before, 0, before))], deductions, {(before, m, q) for q in ends})
         out += [(before, q, final[before, m, q][0], final[before, m, q][2]) for q in ends if (before, m, q) in final]
-    return out
+    return tuple(out)
 
 
-def chain(blocks: list[list[tuple[int, int, int, str]]]) -> tuple[int, str, list[tuple[int, str]]]:
+def chain(blocks: Sequence[Sequence[tuple[int, int, int, str]]]) -> tuple[int, str, list[tuple[int, str]]]:
     """(cost, audit, [(state before, audit of the block)]) of the lightest legal conversation over consecutive blocks of items."""
     by = []
     for items in blocks:
@@ -179,7 +181,7 @@ def _blocks(faulty: DataFrame) -> DataFrame:
 def _derive_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         kinds, faults, copies = (b.column(c).to_pylist() for c in ("kinds", "faults", "copies"))
-        items = [[dict(zip(("before", "after", "cost", "audit"), x)) for x in block_items(*row)] for row in zip(kinds, faults, copies)]
+        items = [[dict(zip(("before", "after", "cost", "audit"), x)) for x in block_items(k, f, tuple(n))] for k, f, n in zip(kinds, faults, copies)]
         illegal = [_illegal(k, n) for k, n in zip(kinds, copies)]
         yield pa.record_batch([b.column("conv_id"), b.column("blk"), pa.array([k[0] for k in kinds], pa.string()), pa.array([k[-1] for k in kinds], pa.string()), pa.array(illegal, pa.int64()), pa.array(items, pa.list_(_ITEM))], ["conv_id", "blk", "first", "last", "illegal", "items"])
 
