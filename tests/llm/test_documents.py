@@ -726,6 +726,25 @@ def test_finer_keys_of_large_buckets_lose_no_link(spark):
     assert {r.id: r.component for r in whole} == groups_of({x for p in half for x in p}, half)
 
 
+def test_lines_without_blanks_are_compared(spark):
+    """One word a line: other scripts, addresses and codes, from five characters on."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(120):
+        n = int(rng.integers(5, 120))
+        chars = [chr(int(c)) for c in rng.integers(0x4E00, 0x4F00, n)]
+        other = list(chars)
+        for k in rng.choice(n, max(1, n // 12), replace=False):
+            other[k] = "\u3042"
+        rows += [(2 * i, "".join(chars)), (2 * i + 1, "".join(other))]
+    rows += [(1000, "ab"), (1001, "ac"), (1002, "x" * 3000), (1003, "x" * 3000)]
+    got = {r.doc_id: r.group_id for r in linededup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    linked = [i for i in range(0, 240, 2) if edit_distance(text[i], text[i + 1]) <= 0.2 * len(text[i])]
+    assert len(linked) > 110 and sum(got[i] == got[i + 1] for i in linked) >= 0.95 * len(linked)
+    assert len({got[i] for i in range(0, 240, 2)}) == 120 and got[1000] != got[1001] and got[1002] == got[1003]
+
+
 def test_components_of_any_shape(spark):
     rng = np.random.default_rng(8)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(1000 + i, 1001 + i) for i in range(70)] + [(5000, 4000 + i) for i in range(500)] + [(3, 3)]
