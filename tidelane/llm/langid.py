@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +15,12 @@ from .common import crc_of_id, unwrapped, wrapped
 
 #: Buckets that hashed byte trigrams fall into; a model has so many numbers a language.
 GRAMS = 4096
-#: Languages that a model may have.
-MOST_LANGUAGES = 1000
+#: Languages that a model may have: as many as ISO 639-3 can name, and a bound of what the driver holds.
+MOST_LANGUAGES = 8192
 #: Documents a batch holds while it is scored.
 BATCH = 256
-#: A document's steps of expectation-maximisation end when none of its proportions moves by this, or at STEPS.
-MOVE, STEPS = 1e-4, 500
+#: A document's steps of expectation-maximisation end when none of its proportions moves by this.
+MOVE = 1e-4
 _LETTER = re.compile(r"[^\W\d_]")
 _BLANK = np.arange(256, dtype=np.uint8)
 _BLANK[[b for b in range(128) if not chr(b).isalpha()]] = 32
@@ -52,7 +53,7 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     than MOST_LANGUAGES languages are an error, as the model is sent to the driver and to every task.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             texts, langs = _texts(batch.column("text")), batch.column("lang").to_pylist()
@@ -65,7 +66,7 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             some = np.flatnonzero(sums)
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(some), "gram": pa.array(some, pa.int32()), "n": pa.array(sums[some], pa.int64())})
 
-    rows = docs.where("lang is not null and text is not null").select("text", "lang").mapInArrow(count, "lang string, gram int, n long")
+    rows = docs.where("lang is not null and text is not null").select("text", "lang").mapInArrow(grams, "lang string, gram int, n long")
     rows = rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")).limit(MOST_LANGUAGES * GRAMS + 1).collect()
     if len(rows) > MOST_LANGUAGES * GRAMS:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
@@ -76,15 +77,16 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return langs, np.log(table / table.sum(axis=1, keepdims=True)) if langs else table
 
 
-def mixture(counts: np.ndarray, logp: np.ndarray, allowed: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+def mixture(counts: np.ndarray, logp: np.ndarray, allowed: np.ndarray, steps: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(proportions, log-likelihood) a row, by expectation-maximisation over the ``allowed`` languages.
 
-    A row is through when none of its proportions moves by MOVE; rows do not depend on each other.
+    A row is through when none of its proportions moves by MOVE, which comes to pass as each step raises the
+    likelihood, or after ``steps`` where they are given; rows do not depend on each other.
     """
     p = np.exp(logp)
     share = (allowed / np.maximum(allowed.sum(axis=1, keepdims=True), 1)).astype(np.float64)
     open_, x = np.arange(len(counts)), counts.astype(np.float64)
-    for _ in range(steps):
+    for _ in count() if steps is None else range(steps):
         if not len(open_):
             break
         old = share[open_]
