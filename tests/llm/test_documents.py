@@ -716,7 +716,7 @@ def test_finer_keys_of_large_buckets_lose_no_link(spark):
     rest = spark.createDataFrame(rows, "key long, id long, load long, component long")
     finer = components.finer(rest, lambda ids: table.join(ids, "id"))
     assert finer.where("key = 8").count() == 2 and finer.groupBy("id").count().where("count > 9").isEmpty()
-    got = {(r.a, r.b) for r in components.pairs_in_blocks(finer, lambda x, y: F.lit(True)).collect()}
+    got = {(r.a, r.b) for r in components.pairs_in_blocks(finer, lambda x, y: F.lit(True), lambda _: F.lit(0)).collect()}
     half = {(a, b) for a in parts for b in parts if a < b and 2 * len(parts[a] & parts[b]) >= min(len(parts[a]), len(parts[b]))}
     assert len(half) > 100 and half <= got and len(got) < 0.25 * 300 * 299 / 2
     links = spark.createDataFrame(sorted(half), "la long, lb long")
@@ -726,6 +726,29 @@ def test_finer_keys_of_large_buckets_lose_no_link(spark):
     assert {r.id: r.component for r in whole} == groups_of({x for p in half for x in p}, half)
 
 
+def test_pairs_in_blocks_are_all_near_pairs_of_different_components(spark):
+    """Every near pair once, whatever the components; a class is the logarithm of the load."""
+    rng = np.random.default_rng(5)
+    rows = [(7, i, int(rng.integers(50, 400)), int(rng.integers(0, 6)) * 1000 if i % 3 else i) for i in range(500)] + [(8, i, 100, 1) for i in range(40)] + [(9, 0, 100, 0), (9, 1, 124, 1), (9, 2, 126, 2)]
+    rest = spark.createDataFrame(rows, "key long, id long, load long, component long")
+    near = lambda x, y: F.least(x, y) * 1.25 >= F.greatest(x, y)
+    got = [(r.a, r.b) for r in components.pairs_in_blocks(rest, near, lambda x: F.floor(F.log(x.cast("double")) / F.log(F.lit(1.26))).cast("long")).collect()]
+    want = sorted((a, b) for k, a, x, c in rows for k2, b, y, d in rows if k == k2 and a < b and c != d and min(x, y) * 1.25 >= max(x, y))
+    assert len(want) > 20_000 and sorted(got) == want
+    assert sorted((r.a, r.b) for r in components.pairs_in_blocks(rest, near, lambda _: F.lit(3)).collect()) == want
+
+
+def test_copies_of_one_component_cost_a_row_each(spark):
+    """A bucket of many linked lines and few others makes no blocks times rows."""
+    rows = [(7, i, 100, 0) for i in range(6400)] + [(7, 10_000 + i, 100, 10_000 + i) for i in range(3)]
+    rest = spark.createDataFrame(rows, "key long, id long, load long, component long")
+    pairs = components.pairs_in_blocks(rest, lambda x, y: F.lit(True), lambda _: F.lit(0))
+    assert pairs.count() == 3 * 6400 + 3
+    pairs.collect()
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
 def test_lines_without_blanks_are_compared(spark):
     """One word a line: other scripts, addresses and codes, from five characters on."""
     rng = np.random.default_rng(7)

@@ -82,20 +82,24 @@ def likely_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return at.join(F.broadcast(words), F.expr("p_ div 64 = word_")).where(F.expr("getbit(bits_, cast(p_ % 64 as int)) = 1")).drop("p_", "word_", "bits_")
 
 
-def pairs_in_blocks(rest: DataFrame, near: Callable[[Column, Column], Column]) -> DataFrame:
+def pairs_in_blocks(rest: DataFrame, near: Callable[[Column, Column], Column], size_class: Callable[[Column], Column]) -> DataFrame:
     """(a, b): the pairs of ``rest`` (key, id, load, component) that share a key, are of different components and ``near``.
 
-    A key's ids are dealt to blocks of BLOCK on average; each two blocks meet under a key of their own, so a
-    task never holds more of a key than two blocks, and only pairs that are near become rows.
+    ``size_class`` makes a number of a load that differs by at most 1 between near ids, so a key falls into parts
+    of two neighbouring classes. In a part, ids of its largest component have nothing to ask each other: every
+    pair has an end in another component. All ids are dealt to blocks of BLOCK on average, and only those of
+    other components are copied to each block, so many copies of one thing cost a row each. A task never holds
+    more of a part than blocks, and only pairs that are near become rows.
     """
-    n = stored(rest.groupBy(F.col("key").alias("k")).agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))
-    d = rest.join(n, F.col("key") == F.col("k")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    d = d.withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    d = d.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "load", "component")
-    x = d.where("block = i").select("key", "i", "j", "id", "load", "component")
-    y = d.where("block = j").select(F.col("key").alias("k2"), F.col("i").alias("i2"), F.col("j").alias("j2"), F.col("id").alias("y"), F.col("load").alias("ly"), F.col("component").alias("cy"))
-    apart = (F.col("component") < F.col("cy")) | ((F.col("i") < F.col("j")) & (F.col("component") > F.col("cy")))
-    met = x.join(y, (F.col("key") == F.col("k2")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2")) & apart & near(F.col("load"), F.col("ly")))
+    d = rest.withColumn("class_", size_class(F.col("load"))).withColumn("part", F.explode(F.array(F.col("class_") - 1, F.col("class_"))))
+    held = d.groupBy(F.col("key").alias("k"), F.col("part").alias("p"), "component").agg(F.count("*").alias("n"))
+    held = held.groupBy("k", "p").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"), F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("c")).where("c > 1").drop("c")
+    d = d.join(stored(held), (F.col("key") == F.col("k")) & (F.col("part") == F.col("p"))).drop("k", "p")
+    x = d.where("component <> largest").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select("key", "part", "block", "id", "load", "component", "class_")
+    y = d.select(F.col("key").alias("k2"), F.col("part").alias("p2"), F.pmod(F.xxhash64("id"), F.col("blocks")).alias("b2"), F.col("id").alias("y"), F.col("load").alias("ly"), F.col("component").alias("cy"), F.col("class_").alias("class_y"), "largest")
+    apart = (F.col("component") < F.col("cy")) | ((F.col("cy") == F.col("largest")) & (F.col("component") > F.col("cy")))
+    once = F.least("class_", "class_y") == F.col("part")  # two ids of one class share two parts
+    met = x.join(y, (F.col("key") == F.col("k2")) & (F.col("part") == F.col("p2")) & (F.col("block") == F.col("b2")) & apart & once & near(F.col("load"), F.col("ly")))
     return met.select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b"))
 
 
@@ -129,6 +133,7 @@ def linked_components(
     prepare: Callable[[DataFrame], tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame] | None]],
     rounds: int = 1,
     parts: Callable[[DataFrame], DataFrame] | None = None,
+    size_class: Callable[[Column], Column] = lambda load: F.lit(0),
 ) -> DataFrame:
     """(id, component) over all verified links between ids that share a bucket.
 
@@ -139,7 +144,7 @@ def linked_components(
     with the hub alone; then the hub, which has met all of its bucket, leaves it. What the hubs leave apart is
     compared across the remaining components of a bucket, so no link is lost and no pair of a bucket is tested
     twice; a bucket that the hubs have joined, or with one member left, is through. Without ``rest`` that is done
-    by ``pairs_in_blocks``, after large buckets are made ``finer`` by ``parts`` where they are given. ``rest`` takes (id, component, family), where ids that share an unsettled bucket, directly or
+    by ``pairs_in_blocks`` with ``size_class``, after large buckets are made ``finer`` by ``parts`` where they are given. ``rest`` takes (id, component, family), where ids that share an unsettled bucket, directly or
     through others, are a family, and returns links (a, b) that join whatever components of a family are linked.
     """
     shared = stored(members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(F.col("key").alias("k")))
@@ -166,7 +171,7 @@ def linked_components(
             unmet = apart.where("id <> y").select("key", "id", "load")
         elif settle is None:
             left = stored(apart.select("key", "id", "load", "component"))
-            pairs = pairs_in_blocks(left if parts is None else finer(left, parts), near)
+            pairs = pairs_in_blocks(left if parts is None else finer(left, parts), near, size_class)
         else:
             rest = stored(apart.select("id", "component", "y"))
             families = components(rest.select(F.col("id").alias("a"), F.col("y").alias("b"))).select(F.col("id").alias("fid"), F.col("component").alias("family"))
