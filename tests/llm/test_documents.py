@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -413,6 +414,21 @@ def test_mixing(small, odd, clashing, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def by_sql(sql, docs):
+    """Rows of DuckDB's SQL over ``docs`` as documents."""
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text", "source").toArrow())
+    return sorted(map(tuple, con.sql(sql).fetchall()), key=repr)
+
+
+def test_mixing_agrees_with_its_sql(spark, small, odd, clashing):
+    # many equal rows, of a null id too, fall into several lots
+    alike = spark.range(9000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a b").otherwise("a b c").alias("text"), F.lit("s").alias("source"))
+    for docs in (small, odd, clashing, alike.unionByName(odd.select("doc_id", "text", "source"))):
+        got = mixing.mix(docs)
+        assert sorted(map(tuple, got.collect()), key=repr) == by_sql(mixing.sql(), docs)
+
+
 def test_mixed_documents(small, clashing):
     taken = sum(r.taken for r in mixing.mix(small).collect())
     got = mixing.mixed_documents(small)
@@ -832,6 +848,13 @@ def test_sketches_merge_and_estimate():
     assert abs(np.mean(near) - 850 / 1150) < 0.02
 
 
+def test_near_duplicates_agree_with_their_sql(spark, small, odd):
+    again = small.select("doc_id", F.concat("text", F.lit(" and more")).alias("text"), "source").where("doc_id % 3 = 0")  # ids with two texts
+    for docs in (small, odd, small.select("doc_id", "text", "source").unionByName(again)):
+        for words, percent in ((3, 85), (5, 80)):
+            assert sorted(map(tuple, setsketch.linked(docs, words, percent).collect()), key=repr) == by_sql(setsketch.sql(words, percent), docs)
+
+
 def test_near_duplicates_odd(odd, empty, clashing):
     got = {r.doc_id: r for r in setsketch.linked(odd, 3, 85).collect()}
     assert (got[2].n_shingles, got[2].component_id, got[2].kept) == (0, 2, True) and got[6].component_id == 1 and got[5].n_shingles == 1

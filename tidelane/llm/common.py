@@ -72,11 +72,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def unit_hash(*cols: Column) -> Column:
-    """A seeded number in [0, 1) made of the columns' values."""
-    return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(2**53))
-
-
 def crc_of_id(mod: int, doc_id: Column | None = None) -> Column:
     """crc32 of doc_id as text, modulo ``mod``; a null id counts as the empty text."""
     return F.crc32(F.coalesce((F.col("doc_id") if doc_id is None else doc_id).cast("string"), F.lit("")).cast("binary")) % mod

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, unit_hash, unwrapped, word_count, wrapped
+from .common import stored, unwrapped, word_count, wrapped
 
 #: Rows of a source that one task orders by their draw.
 ROWS_A_SLICE = 4096
@@ -38,31 +38,41 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0
     return by.select("source", "source_size", "n_docs", target.alias("target"))
 
 
+def draw(*values: Column) -> Column:
+    """A number in [0, 1) made of the values' text: the first 52 bits of an MD5, which SQL has everywhere."""
+    return F.conv(F.left(F.md5(F.concat_ws(":", *[F.coalesce(v.cast("string"), F.lit(" ")) for v in values])), F.lit(13)), 16, 10).cast("double") / F.lit(float(2**52))
+
+
 def taken_words(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, epochs: float = 2.0, seed: int = 17) -> DataFrame:
-    """``sizes`` (its columns, with source, size and doc_id) plus source_size, target and taken.
+    """(source, doc_id, size, source_size, target, taken), a row for each of ``sizes`` (source, doc_id, size).
 
     target / source_size is a source's repetition rate. Each document is taken floor(rate) times whole; the
     fractional repetition is a draw without replacement: a source's documents stand in the order of a seeded
     hash, and those that begin within frac * source_size are taken once more, the one at the edge in part.
     So a source's words sum to its target, rounded. The order is cut into slices by the hash, whose totals
-    are pre-aggregated, so a source of any share is spread over tasks. Equal rows are interchangeable.
+    are pre-aggregated, so a source of any share is spread over tasks. Equal rows are interchangeable: they
+    are counted first and drawn in lots of ROWS_A_SLICE, so that any number of them, null ids of one size
+    too, falls into many slices.
     """
     t = stored(source_targets(sizes, weights, share, epochs))
     t = t.select(F.col("source").alias("s_"), "source_size", "n_docs", "target")
-    d = sizes.join(t, sizes.source.eqNullSafe(t.s_)).drop("s_")
-    d = d.withColumn("draw_", unit_hash(F.lit(seed), F.col("doc_id"), F.col("size")))
+    alike = sizes.groupBy("source", "doc_id", "size").agg(F.count("*").alias("alike_"))
+    lots = alike.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("alike_") - 1).cast("bigint"), F.lit(ROWS_A_SLICE).cast("bigint"))).alias("first_"))
+    lots = lots.withColumn("lot_", F.least(F.col("alike_") - F.col("first_"), F.lit(ROWS_A_SLICE))).withColumn("no_", (F.col("first_") / ROWS_A_SLICE).cast("long"))
+    d = lots.join(t, lots.source.eqNullSafe(t.s_)).drop("s_", "alike_", "first_")
+    d = d.withColumn("draw_", draw(F.lit(seed), F.col("doc_id"), F.col("size"), F.col("no_")))
     d = d.withColumn("slice_", F.floor(F.col("draw_") * F.ceil(F.col("n_docs") / ROWS_A_SLICE)).cast("long"))
-    totals = d.groupBy("source", "slice_").agg(F.sum("size").alias("sum_"))
+    totals = d.groupBy("source", "slice_").agg(F.sum(F.col("size") * F.col("lot_")).alias("sum_"))
     before = Window.partitionBy("source").orderBy("slice_").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(F.col("source").alias("s_"), F.col("slice_").alias("k_"), F.coalesce(F.sum("sum_").over(before), F.lit(0)).alias("offset_"))
     d = d.join(totals, d.source.eqNullSafe(totals.s_) & (d.slice_ == totals.k_)).drop("s_", "k_")
-    inner = Window.partitionBy("source", "slice_").orderBy("draw_", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("start_", F.col("offset_") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
+    inner = Window.partitionBy("source", "slice_").orderBy("draw_", "doc_id", "size", "no_").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("start_", F.col("offset_") + F.coalesce(F.sum(F.col("size") * F.col("lot_")).over(inner), F.lit(0)))
+    d = d.withColumn("place_", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("lot_") - 1)))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("long")
     quota = F.round(F.col("target")).cast("long") - whole * F.col("source_size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), quota - F.col("start_")))
-    d = d.withColumn("taken", (whole * F.col("size") + part).cast("long"))
-    return d.drop("n_docs", "draw_", "slice_", "offset_", "start_")
+    part = F.greatest(F.lit(0), F.least(F.col("size"), quota - F.col("start_") - F.col("place_") * F.col("size")))
+    return d.select("source", "doc_id", "size", "source_size", "target", (whole * F.col("size") + part).cast("long").alias("taken"))
 
 
 def document_sizes(docs: DataFrame) -> DataFrame:
@@ -95,3 +105,21 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     copies = F.array_repeat(F.col("text"), F.floor(F.col("taken_") / F.col("size")).cast("int"))
     rows = rows.withColumn("new_", F.explode(F.concat(copies, F.when(over > 0, F.array(head)).otherwise(F.array().cast("array<string>")))))
     return unwrapped(rows, docs, {"text": F.col("new_"), "n_chars": F.char_length("new_").cast("long")})
+
+
+def sql(weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, epochs: float = 2.0, seed: int = 17) -> str:
+    """The rows of ``mix`` in DuckDB's SQL: each source as one running sum over its documents."""
+    listed = ", ".join(str(float(w)) for w in weights)
+    return f"""with sized as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size from documents),
+sources as (select source, sum(size)::bigint as source_size, [{listed}]::double[] as w, row_number() over (order by source is null, source) as i from sized group by source),
+caps as (select source, source_size, w[(i - 1) % len(w) + 1] as weight, source_size * {float(epochs)}::double as cap from sources),
+levels as (select *, cap / weight as r, (sum(source_size) over ()::double * {float(share)} - coalesce(sum(cap) over (order by cap / weight, source is null, source rows between unbounded preceding and 1 preceding), 0))
+ / sum(weight) over (order by cap / weight, source is null, source rows between current row and unbounded following) as level from caps),
+final as (select (min({{'r': r, 'l': level}}) filter (where level <= r)).l as f from levels),
+targets as (select source, source_size, case when f is null then cap else least(cap, f * weight) end as target from levels, final),
+lots as (select *, (row_number() over (partition by source, doc_id, size) - 1) as place from sized),
+drawn as (select *, ('0x' || left(md5('{seed}:' || coalesce(doc_id::varchar, ' ') || ':' || size || ':' || place // {ROWS_A_SLICE}), 13))::bigint as draw from lots),
+begun as (select *, coalesce(sum(size) over (partition by source order by draw, doc_id nulls first, size, place rows between unbounded preceding and 1 preceding), 0)::bigint as start from drawn),
+rates as (select *, case when source_size > 0 then floor(target / source_size + 1e-12)::bigint else 0 end as whole from targets)
+select doc_id, size::bigint as size, source_size, target, whole * size + greatest(0, least(size, round(target)::bigint - whole * source_size - start)) as taken
+from begun b join rates r on b.source is not distinct from r.source"""

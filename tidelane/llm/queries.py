@@ -34,4 +34,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_clusters": lambda spark, sf_dir: clustering.clusters(_table(spark, sf_dir, "embeddings")).drop("n_verified"),
 }
 
-ORACLE_SQL: dict[str, str] = {"op11_repair": repair.sql(), "op13_clusters": clustering.sql()}
+ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.sql(), "op10_setsketch": setsketch.sql(), "op11_repair": repair.sql(), "op13_clusters": clustering.sql()}

@@ -312,3 +312,28 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     """
     gone = linked(docs, words, percent).where("not kept").select(F.col("doc_id").alias("gone_")).distinct()
     return unwrapped(wrapped(docs, "doc_id").join(gone, F.col("doc_id") == F.col("gone_"), "left_anti"), docs)
+
+
+def sql(words: int = 3, percent: int = 85) -> str:
+    """The rows of ``linked`` in DuckDB's SQL, by inverted lists of each set's rarest shingles; null ids are linked with nothing.
+
+    Two sets that share enough share one of their n - ceil(percent n / 100) + 1 rarest shingles each.
+    """
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    shingle = " || ' ' || ".join(f"w[i + {k}]" for k in range(words))
+    return f"""with recursive worded as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+sets as materialized (select doc_id, case when len(w) = 0 then [] when len(w) < {words} then [array_to_string(w, ' ')] else list_sort(list_distinct(list_transform(range(1, len(w) - {words} + 2), lambda i: {shingle}))) end as s from worded),
+keyed as materialized (select doc_id, len(s) as n, s, case when doc_id is not null and len(s) > 0 then sha256(array_to_string(s, chr(10))) end as k from sets),
+classes as materialized (select k, min(doc_id) as id, count(*) as n_in_class, any_value(n) as n, any_value(s) as s from keyed where k is not null group by k),
+each as materialized (select k, n, unnest(s) as x from classes),
+ranked as (select k, n, x, row_number() over (partition by k order by often, x) as place from (select *, count(*) over (partition by x) as often from each)),
+rare as materialized (select k, n, x from ranked where place <= n - (n * {percent} + 99) // 100 + 1),
+candidates as (select distinct a.k as a, b.k as b, a.n as na, b.n as nb from rare a join rare b on a.x = b.x and a.k < b.k and least(a.n, b.n) * 100 >= greatest(a.n, b.n) * {percent}),
+near as (select c.a, c.b from candidates c join each x on x.k = c.a join each y on y.k = c.b and y.x = x.x group by c.a, c.b, c.na, c.nb having 100 * count(*) >= {percent} * (c.na + c.nb - count(*))),
+one_id as (select distinct a.k as a, b.k as b from keyed a join keyed b on a.doc_id = b.doc_id and a.k <> b.k),
+links as materialized (select a, b from near union select b, a from near union select a, b from one_id),
+reach as (select k, k as r from classes union select reach.k, links.b from reach join links on links.a = reach.r),
+placed as (select reach.k, min(c.id) as m from reach join classes c on c.k = reach.r group by reach.k),
+of_id as (select doc_id, min(m) as m, max(n_in_class) as n_in_class from keyed join placed using (k) join classes using (k) group by doc_id)
+select d.doc_id, d.n as n_shingles, coalesce(o.m, d.doc_id) as component_id, d.doc_id = coalesce(o.m, d.doc_id) as kept, coalesce(o.n_in_class, 1) as n_in_class
+from keyed d left join of_id o on o.doc_id = d.doc_id"""
