@@ -67,19 +67,24 @@ def merged(found: DataFrame, links: DataFrame) -> DataFrame:
     return found.join(moved, found.component == moved.old, "left").select("id", F.coalesce("new", "component").alias("component")).unionByName(joined.join(found.select("id"), "id", "left_anti"))
 
 
-def likely_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose ``key`` may be among ``keys`` (k): a filter ahead of a join, so that fewer rows are shuffled.
+def marked_likely(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``df`` with column likely_: whether ``key`` may be among ``keys`` (k). It is true for all of ``keys``, and for few others.
 
     A bit for each of FILTER_BITS hash values, 64 to a row: however many keys there are, the broadcast table
-    has FILTER_BITS / 64 rows at most. Other keys may pass; none of ``keys`` is lost.
+    has FILTER_BITS / 64 rows at most.
     """
 
     def place(c: str) -> Column:
         return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
 
     words = keys.select(place("k").alias("p")).groupBy(F.expr("p div 64").alias("word_")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits_"))
-    at = df.withColumn("p_", place(key))
-    return at.join(F.broadcast(words), F.expr("p_ div 64 = word_")).where(F.expr("getbit(bits_, cast(p_ % 64 as int)) = 1")).drop("p_", "word_", "bits_")
+    at = df.withColumn("p_", place(key)).join(F.broadcast(words), F.expr("p_ div 64 = word_"), "left")
+    return at.withColumn("likely_", F.expr("coalesce(getbit(bits_, cast(p_ % 64 as int)) = 1, false)")).drop("p_", "word_", "bits_")
+
+
+def likely_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` may be among ``keys`` (k), by ``marked_likely``: a filter ahead of a join, so that fewer rows are shuffled."""
+    return marked_likely(df, key, keys).where("likely_").drop("likely_")
 
 
 def pairs_in_blocks(rest: DataFrame, near: Callable[[Column, Column], Column], size_class: Callable[[Column], Column]) -> DataFrame:
@@ -147,9 +152,9 @@ def linked_components(
     by ``pairs_in_blocks`` with ``size_class``, after large buckets are made ``finer`` by ``parts`` where they are given. ``rest`` takes (id, component, family), where ids that share an unsettled bucket, directly or
     through others, are a family, and returns links (a, b) that join whatever components of a family are linked.
     """
-    shared = stored(members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(F.col("key").alias("k")))
+    shared = stored(members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(F.col("key").alias("k"), F.col("lo").alias("hub")))
     members = likely_in(members, "key", shared).distinct()
-    members = stored(members.join(shared, F.col("key") == F.col("k")).select("key", "id", "load"))
+    members = stored(members.join(shared, F.col("key") == F.col("k")).select("key", "id", "load", "hub"))
     verify, settle = prepare(members.select("id").distinct())
     found = None
     unmet = members
@@ -160,11 +165,15 @@ def linked_components(
             f = found.select(F.col("id").alias("fid"), F.col("component").alias("fc"))
             placed = unmet.join(f, F.col("id") == F.col("fid"), "left").select("key", "id", "load", F.coalesce("fc", "id").alias("component"))
         placed = stored(placed) if r else placed
-        spread = placed.groupBy("key").agg(
-            F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("o"), "id", "load", "component")).alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi")
-        )
+        if r:
+            spread = placed.groupBy("key").agg(
+                F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("o"), "id", "load", "component")).alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi")
+            )
+            spread = spread.where("lo < hi").select(F.col("key").alias("k"), F.col("hub.id").alias("y"), F.col("hub.load").alias("ly"), F.col("hub.component").alias("cy"))
+        else:  # the first hub, the least id, was found with the buckets
+            spread = placed.where("id = hub").select(F.col("key").alias("k"), F.col("id").alias("y"), F.col("load").alias("ly"), F.col("component").alias("cy"))
         # a table of its own, so that a key with many members can be split in the joins
-        spread = stored(spread.where("lo < hi").select(F.col("key").alias("k"), F.col("hub.id").alias("y"), F.col("hub.load").alias("ly"), F.col("hub.component").alias("cy")))
+        spread = stored(spread)
         apart = placed.join(spread, placed.key == spread.k)
         if r < rounds:
             pairs = apart.where("component <> cy").where(near(F.col("load"), F.col("ly"))).select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b"))
