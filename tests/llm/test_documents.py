@@ -784,6 +784,32 @@ def test_lines_without_blanks_are_compared(spark):
     assert len({got[i] for i in range(0, 240, 2)}) == 120 and got[1000] != got[1001] and got[1002] == got[1003]
 
 
+def test_lines_of_any_length_are_compared_by_characters(spark):
+    """Long lines are not linked by words, and no pair is refused for the number of words that have an edit."""
+    rng = np.random.default_rng(11)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    pairs = []
+    for n, changed in [(20, 10), (80, 30), (6, 6), (90, 90), (40, 8), (100, 15), (3, 1)]:
+        w = [word(int(rng.integers(5, 10))) for _ in range(n)]
+        other = list(w)
+        for k in rng.choice(n, changed, replace=False):
+            other[k] = "#" + w[k][1:]  # one letter of a word
+        pairs.append((" ".join(w), " ".join(other)))
+    for n, share in [(90, 0.24), (90, 0.3), (90, 0.2), (30, 0.2), (30, 0.3), (30, 0.25)] * 2:
+        w = [word(int(rng.integers(4, 12))) for _ in range(n)]
+        other = [word(len(x)) if n // 4 <= i < n // 4 + share * n else x for i, x in enumerate(w)]  # whole words, one after another
+        pairs.append((" ".join(w), " ".join(other)))
+    pairs += [("a" * 900, "a" * 721), ("a" * 900, "a" * 719), ("ab", "ac"), ("aaaaa", "aaaab"), ("x y", "x y z")]
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, na string, nb string")
+    for e in "ab":
+        rows = rows.withColumn(f"c{e}", linededup.coded(F.col(f"n{e}"))).withColumn(f"l{e}", linededup.longest_word(F.col(f"n{e}")))
+    want = {i for i, (a, b) in enumerate(pairs) if edit_distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9}
+    assert {r.i for r in linededup.similar(rows).collect()} == want and 10 < len(want) < len(pairs) - 5
+    docs = [(2 * i + j, x) for i, p in enumerate(pairs[:7]) for j, x in enumerate(p)]
+    got = {r.doc_id: r.group_id for r in linededup.near_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[8] == got[9] and got[10] == got[11]
+
+
 def test_components_of_any_shape(spark):
     rng = np.random.default_rng(8)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(1000 + i, 1001 + i) for i in range(70)] + [(5000, 4000 + i) for i in range(500)] + [(3, 3)]
