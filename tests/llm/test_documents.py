@@ -754,6 +754,18 @@ def test_pairs_in_blocks_are_all_near_pairs_of_different_components(spark):
     assert sorted((r.a, r.b) for r in components.pairs_in_blocks(rest, near, lambda _: F.lit(3)).collect()) == want
 
 
+def test_pairs_of_several_large_buckets_come_once(spark):
+    """Ids that share many large buckets meet by one part, and ids of few parts still meet those of many."""
+    rng = np.random.default_rng(6)
+    parts = {i: {1, 2, 3, *(int(x) for x in rng.integers(10, 60, int(rng.integers(0, 7))))} for i in range(200)}
+    parts |= {i: {int(x) for x in rng.integers(1, 12, 2)} for i in range(200, 230)}
+    table = spark.createDataFrame([(i, sorted(x)) for i, x in parts.items()], "id long, parts array<long>")
+    rest = spark.createDataFrame([(k, i, i, i) for k in (7, 8, 9) for i in parts], "key long, id long, load long, component long")
+    finer = components.finer(rest, lambda ids: table.join(ids, "id"))
+    got = [(r.a, r.b) for r in components.pairs_in_blocks(finer, lambda x, y: F.lit(True), lambda _: F.lit(0)).collect()]
+    assert sorted(got) == sorted((a, b) for a in parts for b in parts if a < b and 2 * len(parts[a] & parts[b]) >= min(len(parts[a]), len(parts[b])))
+
+
 def test_copies_of_one_component_cost_a_row_each(spark):
     """A bucket of many linked lines and few others makes no blocks times rows."""
     rows = [(7, i, 100, 0) for i in range(6400)] + [(7, 10_000 + i, 100, 10_000 + i) for i in range(3)]
