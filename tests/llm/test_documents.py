@@ -822,6 +822,14 @@ def test_lines_of_any_length_are_compared_by_characters(spark):
     assert got[8] == got[9] and got[10] == got[11]
 
 
+def test_lines_take_few_jobs(spark, small):
+    """What the driver holds grows with jobs and plans, so one hub a bucket has to do before blocks."""
+    spark.sparkContext.setJobGroup("lines", "")
+    linededup.near_groups(small).collect()
+    spark.sparkContext.setJobGroup("others", "")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("lines")) < 78
+
+
 def test_components_of_any_shape(spark):
     rng = np.random.default_rng(8)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(1000 + i, 1001 + i) for i in range(70)] + [(5000, 4000 + i) for i in range(500)] + [(3, 3)]
