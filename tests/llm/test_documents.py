@@ -830,6 +830,30 @@ def test_lines_take_few_jobs(spark, small):
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("lines")) < 78
 
 
+def test_proofs_and_refusals_of_likeness_agree_with_the_plain_distance(spark):
+    """Shifted, shortened and edited lines about the limit; what both lines share is written once in the plan."""
+    rng = np.random.default_rng(12)
+    letters = list("abcdefgh \u00e9")
+    pairs = []
+    for i in range(400):
+        n = int(rng.integers(1, 160))
+        a = list(rng.choice(letters, n))
+        b = list(a[int(rng.integers(0, n // 4 + 1)) :]) if i % 3 == 0 else list(a)
+        for _ in range(int(rng.integers(0, n // 3 + 1))):
+            k = int(rng.integers(0, len(b) + 1))
+            b[k : k + int(rng.integers(0, 2))] = rng.choice(letters, int(rng.integers(0, 2)))
+        a, b = " ".join("".join(a).split()), " ".join("".join(b).split())
+        if a and b:
+            pairs.append((a, b) if i % 2 else (b, a))
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, na string, nb string")
+    for e in "ab":
+        rows = rows.withColumn(f"c{e}", linededup.coded(F.col(f"n{e}"))).withColumn(f"l{e}", linededup.longest_word(F.col(f"n{e}")))
+    found = linededup.similar(rows)
+    want = {i for i, (a, b) in enumerate(pairs) if edit_distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9}
+    assert {r.i for r in found.collect()} == want and 50 < len(want) < len(pairs) - 50
+    assert found._jdf.queryExecution().analyzed().toString().count("left(") < 60
+
+
 def test_components_of_any_shape(spark):
     rng = np.random.default_rng(8)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(1000 + i, 1001 + i) for i in range(70)] + [(5000, 4000 + i) for i in range(500)] + [(3, 3)]
