@@ -3,15 +3,18 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tidelane.llm import chat, components, katz, langid, linededup, media, merkle, mixing, packing, pii, setsketch, words
+from tidelane.llm import chat, common, components, katz, langid, linededup, media, merkle, mixing, packing, pii, setsketch, words
 
 
 def rows_of(docs):
@@ -777,6 +780,53 @@ def test_copies_of_one_component_cost_a_row_each(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def shuffle_bytes(spark):
+    """Bytes of shuffle files that Spark holds on disk."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_"))
+
+
+def files_in(folder):
+    return {p for p in Path(folder).rglob("part-*") if p.is_file()}
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """A long query stores many tables; what was shuffled for one is gone before the next."""
+    before = shuffle_bytes(spark)
+    common.stored(spark.range(200_000).groupBy(F.xxhash64("id").alias("k")).agg(F.max("id").alias("m")))
+    for _ in range(50):
+        if shuffle_bytes(spark) <= before:
+            break
+        time.sleep(0.1)
+    assert shuffle_bytes(spark) <= before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_scratch_tables_go_and_others_stay(spark):
+    folder = common.shared_dir(spark).removeprefix("file:")
+    before = files_in(folder)
+    with common.scratch(spark):
+        one = common.stored(spark.range(10))
+        with common.scratch(spark):
+            two = common.stored(one.select((F.col("id") * 2).alias("id")))
+            three = common.stored(two.select((F.col("id") + 1).alias("id")), outside=True)
+        four = common.stored(one.unionByName(three), outside=True)
+        assert len(files_in(folder) - before) > 0
+    assert sorted(r.id for r in four.collect()) == sorted([*range(10), *range(1, 21, 2)])
+    left = {p for p in files_in(folder) - before if pq.ParquetFile(p).metadata.num_rows}
+    assert sum(pq.ParquetFile(p).metadata.num_rows for p in left) == 20
+
+
+def test_lines_leave_little_on_disk(spark, small):
+    """Lines with their texts, buckets and pairs go before the result is read."""
+    folder = common.shared_dir(spark).removeprefix("file:")
+    before = files_in(folder)
+    got = linededup.near_groups(small)
+    left = sum(p.stat().st_size for p in files_in(folder) - before)
+    assert left < 0.25 * sum(p.stat().st_size for p in [Path("/root/testdata/sf0.001/documents.parquet")])
+    assert got.count() == linededup.whole_lines(small).count()
+
+
 def test_lines_without_blanks_are_compared(spark):
     """One word a line: other scripts, addresses and codes, from five characters on."""
     rng = np.random.default_rng(7)
