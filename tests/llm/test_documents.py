@@ -827,6 +827,27 @@ def test_lines_leave_little_on_disk(spark, small):
     assert got.count() == linededup.whole_lines(small).count()
 
 
+def test_rows_of_a_large_bucket_are_copied_seldom(spark):
+    """Two thousand ids of one bucket, all apart, were copied 32 times each."""
+    rest = spark.range(2000).select(F.lit(7).alias("key"), "id", F.col("id").alias("load"), F.col("id").alias("component"))
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = shuffle_bytes(spark)
+        assert components.pairs_in_blocks(rest, lambda x, y: x + y > 3994, lambda _: F.lit(0)).count() == 4
+        assert shuffle_bytes(spark) - before < 450_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
+def test_pairs_in_turns_are_the_same(spark, small, monkeypatch):
+    """More pairs than take their texts at once."""
+    want = {tuple(r) for r in linededup.near_groups(small).collect()}
+    monkeypatch.setattr(linededup, "PAIRS", 100)
+    monkeypatch.setattr(linededup, "PAIRS_SHARE", 0)
+    assert {tuple(r) for r in linededup.near_groups(small).collect()} == want
+
+
 def test_lines_without_blanks_are_compared(spark):
     """One word a line: other scripts, addresses and codes, from five characters on."""
     rng = np.random.default_rng(7)
